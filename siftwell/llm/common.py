@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 SPACE = "\\x20\\x09-\\x0D"
 #: Records per Arrow batch handed to Python; bounds a worker's memory on long texts.
 ARROW_ROWS = 512
+ARROW_BYTES = 32 << 20
 
 _written: list[str] = []
 
@@ -54,6 +55,7 @@ def clear(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and let Python workers on this machine import the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -27,6 +27,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_as_jpeg(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.maxent import language_model
+
+    return language_model(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.packing import pack
 
@@ -36,6 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_media_columns": op4_media_columns,
+    "op7_lm_scoring": op7_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

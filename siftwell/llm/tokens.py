@@ -1,36 +1,42 @@
 """Exact, memoised encoding with a public word-level BPE tokenizer.
 
-The tokenizer drops white space and never lets a token, a pre-token or a
-normalisation step reach across it, so a text's ids are the concatenation of the
-ids of its white-space separated chunks; a chunk's are those of its pre-tokens.
-Both repeat, so each is looked up in a bounded memo first. Texts or chunks for
-which that argument is not certain (control characters on which Python and the
-tokenizer disagree, literal special tokens, scripts whose character classes
-depend on the Unicode version) are handed to the tokenizer as they are.
+The tokenizer normalises a text (NFC, lower case), cuts it into pre-tokens and
+encodes each by itself. Pre-tokens repeat, so each is looked up in a bounded memo
+first, and the new ones of a batch are encoded in one call. Texts for which the cut
+is not certain to be the tokenizer's own (control characters, literal special
+tokens, scripts whose character classes depend on the Unicode version) are handed
+to it as they are.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-#: Characters that one side treats as white space and the other does not, and special tokens.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
-_BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Memory bound of the memos: that many entries are kept, then one starts anew.
-CHUNKS, PRE_TOKENS = 800_000, 500_000
+#: Anything but Latin letters, general punctuation and currency signs; white space
+#: that one side does not know as such; special tokens.
+_ODD = re.compile("[^\x00-\x1b -\x84\x86-ſ‐-‧‰-⁞₠-₿]|<\\|")
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_PRE_TOKEN = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_L}{_N}]+")
+#: Memory bound of the memo: that many pre-tokens are kept, then it starts anew.
+MEMO = 300_000
 
 
-class _Memo:
+def pre_tokens(text: str) -> list[str] | None:
+    """The tokenizer's normalised pre-tokens; None if they can't be told for sure."""
+    if _ODD.search(text):
+        return None
+    return _PRE_TOKEN.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+
+
+class _Memo(dict):
     def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
         self.tokenizer = tokenizer
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -38,64 +44,47 @@ class _Memo:
     def ids(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks that are not in the memo, their new pre-tokens in one call."""
-        if len(self.chunks) + len(chunks) > CHUNKS:
-            self.chunks.clear()
-        split = {c: None if _BEYOND_LATIN.search(c) else pre_tokens(c) for c in chunks}
-        wanted = {p for pieces in split.values() if pieces for p in pieces}
-        if len(self.pieces) + len(wanted) > PRE_TOKENS:
-            self.pieces.clear()
-        new = [p for p in wanted if p not in self.pieces]
-        joined = [p for p in new if "<" not in p]
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pre-tokens that are not in the memo, in one call."""
+        joined = [p for p in pieces if "<" not in p and len(p) <= 256]
         got = np.array(self.tokenizer.encode_batch_fast([" ".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[got]) + 1  # a pre-token's last token says that it is the last
         if len(cuts) == len(joined):
             raw, bounds = got.tobytes(), [0, *(4 * cuts).tolist()]
-            self.pieces.update({p: raw[i:j] for p, i, j in zip(joined, bounds, bounds[1:], strict=False)})
-        for p in new:
-            if p not in self.pieces:
-                self.pieces[p] = self.ids(p)
-        of = self.pieces.__getitem__
-        self.chunks.update({c: self.ids(c) if pieces is None else b"".join(map(of, pieces)) for c, pieces in split.items()})
+            self.update({p: raw[i:j] for p, i, j in zip(joined, bounds, bounds[1:], strict=False)})
+        for p in pieces:
+            if p not in self:
+                self[p] = self.ids(p)
 
 
 _encoders: dict[str, _Memo] = {}
 
 
-def pre_tokens(chunk: str) -> list[str]:
-    """The tokenizer's pre-tokens of a chunk of Latin text, normalised."""
-    return _PRE_TOKEN.findall((chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower())
-
-
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of UTF-8 texts, and numbers of ids by chunk."""
+    """Little-endian unsigned 32-bit ids of UTF-8 texts."""
 
     def __init__(self, path: str):
         if path not in _encoders:
             _encoders[path] = _Memo(Tokenizer.from_file(path))
         self.memo = _encoders[path]
 
-    def chunks(self, texts: list[bytes]) -> tuple[list[list[str] | None], list[list[bytes]]]:
-        """Each text's chunks (None if it can't be cut) and their ids."""
-        get, cut, found, missing = self.memo.chunks.get, [], [], set()
-        for text in texts:
-            s = text.decode("utf-8", "replace")
-            own = None if _ODD.search(s) else s.split()
-            ids = [self.memo.ids(s)] if own is None else [*map(get, own)]
-            cut.append(own)
-            found.append(ids)
-            if None in ids:
-                missing.update(c for c, i in zip(own, ids, strict=True) if i is None)
-        if missing:
-            self.memo.learn(missing)
-            for k, ids in enumerate(found):
-                if None in ids:
-                    found[k] = [get(c) if i is None else i for c, i in zip(cut[k], ids, strict=True)]
+    def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], list[list[bytes]]]:
+        """Each text's pre-tokens (None if it must be encoded as a whole) and their ids."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        get = memo.get
+        cut = [pre_tokens(s) for s in texts]
+        found = [[memo.ids(s)] if own is None else [*map(get, own)] for s, own in zip(texts, cut, strict=True)]
+        short = [k for k, ids in enumerate(found) if None in ids]
+        if short:
+            memo.learn(set(chain.from_iterable(cut[k] for k in short)).difference(memo))
+            for k in short:
+                found[k] = [*map(memo.__getitem__, cut[k])]
         return cut, found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(ids) for ids in self.chunks(texts)[1]]
+        return [b"".join(ids) for ids in self.pieces([t.decode("utf-8", "replace") for t in texts])[1]]
 
     def whole(self, s: str) -> bytes:
         """The ids by the tokenizer alone."""
