@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwell.llm import rules
 from siftwell.llm.common import table
 
 
@@ -27,12 +28,24 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_as_jpeg(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.maxent import language_model
 
     return language_model(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.packing import pack
 
@@ -42,8 +55,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_quality_rules": op5_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
+    "op9_url_filters": op9_url_filters,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": rules.ORACLE,
+}
