@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import rules
+from siftwell.llm import mixing, rules
 from siftwell.llm.common import table
 
 
@@ -16,6 +16,33 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The production mixture: domains by source number; weights of domains, languages and sources.
+DOMAINS = ("web", "reference", "forum", "news")
+WEIGHTS = {
+    ("web",): 4,
+    ("reference",): 3,
+    ("forum",): 1,
+    ("news",): 2,
+    ("web", "en"): 3,
+    ("web", "de"): 2,
+    ("reference", "en"): 2,
+    ("reference", "fr"): 2,
+    ("news", "es"): 3,
+    ("web", "en", "src0"): 2,
+    ("forum", "de", "src2"): 3,
+}
+MIX = {"share": 1.0, "epochs": 4, "seed": 17}
+
+
+def mixing_plan() -> dict:
+    return MIX | {"domain": mixing.source_domain("source", DOMAINS), "weights": WEIGHTS}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), **mixing_plan())
+    return mixed.select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "n_tokens", "take_tokens")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.simhash import near_duplicates
 
@@ -53,6 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_media_columns": op4_media_columns,
     "op5_quality_rules": op5_quality_rules,
@@ -62,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": mixing.oracle(DOMAINS, WEIGHTS, **MIX),
     "op5_quality_rules": rules.ORACLE,
 }
