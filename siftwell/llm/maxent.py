@@ -10,9 +10,9 @@ feature alone, whose maximum-entropy solution is the smoothed relative frequency
 The history enters through its features only, so the corpus is reduced once to
 counts of (history, class), at most 7 million cells whatever its size; every
 gradient is computed from those counts in parallel. Word counts have no such bound:
-they stay distributed. Texts are encoded once, into blocks with a vocabulary each,
-and a block's word counts reach it by a join on (word, block) pairs - no pair occurs
-twice, so no word makes a hot key.
+they stay distributed. Texts are encoded once, into blocks with a vocabulary each;
+(word, block) pairs meet by word, are summed, and go back to their blocks. No pair
+occurs twice, so no word makes a hot key.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise, prepare, utf8
@@ -36,16 +37,20 @@ CLASSES = HEAD + TAIL
 START = CLASSES
 HISTORY = CLASSES + 1
 PAIRED = 4096
-#: Text bytes of a block.
-BLOCK = 12 << 20
+#: Share of the training tokens that a head word has at least, as one over this.
+FREQUENT = 20_000
+#: Text bytes of a block, and tokens of it that are scored together.
+BLOCK, STEP = 8 << 20, 200_000
 ADD = 0.1
 SYMBOLS = b"#$%&*|<>"
+#: A key is a task's number, 16 bits of a block's and so many of a position in its vocabulary.
+POS = 24
 #: The end of a text: the only token with white space, so no word's hash stands for it by rule.
 END = xxhash.xxh64_intdigest(b"\n", 42)
 #: The counts of histories are dealt to so many gradient tasks; each returns 3.4 MB.
 GRADIENT_TASKS = 4
 
-BLOCKS = "block long, ids array<long>, held binary, lengths binary, vocabulary binary, seen binary, tail binary, codes binary"
+BLOCKS = "block long, ids array<long>, held binary, lengths binary, vocabulary binary, seen binary, tail binary, codes binary, train long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -59,6 +64,16 @@ def tail_class(word: bytes) -> int:
     return 8 + kind % 16 if after else 24 + kind % 40
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """Codes byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, number = TaskContext.get().partitionId(), 0
     ids: list = []
@@ -76,8 +91,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(codes)
         train = ~np.repeat(np.array(held), lengths)
         seen = np.bincount(flat[train], minlength=len(names)).astype(np.int32)
-        values = (task << 32 | number, ids, np.array(held).tobytes(), lengths.tobytes(), hashes.tobytes(), seen.tobytes(), tails.tobytes(), flat.tobytes())
-        kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
+        values = (task << 16 | number, ids, np.array(held).tobytes(), lengths.tobytes(), hashes.tobytes(), seen.tobytes(), tails.tobytes(), pack(flat), int(train.sum()))
+        kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     for batch in batches:
@@ -100,7 +115,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, v, s, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             h, seen, tails = np.frombuffer(v, np.int64), np.frombuffer(s, np.int32), np.frombuffer(t, np.uint8)
-            t = pa.table({"block": pa.array(np.full(len(h), block)), "pos": pa.array(np.arange(len(h), dtype=np.int32)), "word": pa.array(h), "n": pa.array(seen), "tail": pa.array(tails.astype(np.int32))})
+            info = seen.astype(np.int64) << 8 | tails
+            t = pa.table({"key": pa.array(block << POS | np.arange(len(h))), "word": pa.array(h), "info": pa.array(info)})
             yield from t.to_batches(max_chunksize=65536)
 
 
@@ -129,7 +145,7 @@ def _count(head: np.ndarray):
             for held, lens, v, t, c in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 lengths = np.frombuffer(lens, np.int32)
                 of = _word_classes(np.frombuffer(v, np.uint64), np.frombuffer(t, np.uint8), head)
-                classes = of[np.frombuffer(c, np.int32)]
+                classes = of[unpack(c)]
                 cell = (_histories(classes, lengths) * CLASSES + classes)[~np.repeat(np.frombuffer(held, bool), lengths)]
                 got = np.bincount(cell, minlength=HISTORY * HISTORY * CLASSES).astype(np.int32)
                 total = got if total is None else total + got
@@ -239,7 +255,6 @@ class Model:
     """What scoring needs besides word counts; 4 MB at any corpus size."""
 
     weights: Weights
-    head: np.ndarray
     tokens: int
     distinct: int
     class_tokens: np.ndarray
@@ -264,31 +279,39 @@ def _class_table(weights: Weights) -> np.ndarray:
 def _score(model: Model):
     def scored(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         table, parts = _class_table(model.weights), []
-        pos, n = counts["pos"].to_numpy(), counts["c"].to_numpy()
+        pos, info = counts["pos"].to_numpy(), counts["info"].to_numpy()
         for row in blocks.to_pylist():  # one
-            hashes, tails = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tail"], np.uint8)
-            codes, lengths = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["lengths"], np.int32)
-            c = np.zeros(len(hashes), np.float64)
-            c[pos] = n
-            of = _word_classes(hashes, tails, model.head)
+            lengths, of = np.frombuffer(row["lengths"], np.int32), HEAD + np.frombuffer(row["tail"], np.uint8).astype(np.int64)
+            c = np.zeros(len(of), np.float64)
+            c[pos], of[pos] = info >> 8, info & 255
             base = np.log10((c + ADD) / (model.tokens + ADD * (model.distinct + 1)))
             within = np.where(of < HEAD, 0.0, np.log10((c + ADD) / (model.class_tokens[of] + ADD * (model.class_words[of] + 1))))
-            classes = of[codes]
-            starts = np.cumsum(lengths) - lengths
-            full = within[codes] + table[_histories(classes, lengths), classes]
+            codes, ends = unpack(row["codes"]), np.cumsum(lengths)
+            known, sums, full = np.zeros(len(lengths), np.int64), np.zeros(len(lengths)), np.zeros(len(lengths))
+            at = 0
+            while at < len(lengths):  # whole texts of some STEP tokens at a time
+                start = int(ends[at] - lengths[at])
+                upto = max(at + 1, int(np.searchsorted(ends, start + STEP, side="right")))
+                own, n = codes[start : ends[upto - 1]], lengths[at:upto]
+                cuts = ends[at:upto] - n - start
+                classes = of[own]
+                known[at:upto] = np.add.reduceat((c[own] > 0).astype(np.int64), cuts)
+                sums[at:upto] = np.add.reduceat(base[own], cuts)
+                full[at:upto] = np.add.reduceat(within[own] + table[_histories(classes, n), classes], cuts)
+                at = upto
             parts.append(
                 pa.table(
                     {
                         "doc_id": pa.array(row["ids"], pa.int64()),
                         "held_out": pa.array(np.frombuffer(row["held"], bool)),
                         "n_tokens": pa.array(lengths.astype(np.int64)),
-                        "n_known": pa.array(np.add.reduceat((c > 0)[codes].astype(np.int64), starts)),
-                        "base_score": pa.array(np.add.reduceat(base[codes], starts)),
-                        "score": pa.array(np.add.reduceat(full, starts)),
+                        "n_known": pa.array(known),
+                        "base_score": pa.array(sums),
+                        "score": pa.array(full),
                     }
                 )
             )
-        return pa.concat_tables(parts)
+        return pa.concat_tables(parts) if parts else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known")), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
     return scored
 
@@ -311,19 +334,23 @@ def language_model(docs: DataFrame, steps: int = 8) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     blocks = encode(docs)
-    pairs = blocks.select("block", "vocabulary", "seen", "tail").mapInArrow(_vocabulary, "block long, pos int, word long, n int, tail int")
-    counts = materialise(pairs.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("tail").alias("tail")), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = sorted(r["word"] % (1 << 64) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect())
-    signed = [x - (1 << 64) if x >> 63 else x for x in head]
+    tokens = blocks.agg(F.sum("train")).first()[0] or 0
+    pairs = blocks.select("block", "vocabulary", "seen", "tail").mapInArrow(_vocabulary, "key long, word long, info long")
+    met = Window.partitionBy("word").orderBy("key")
+    total = F.sum(F.shiftright("info", 8)).over(met.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    summed = pairs.select("key", "word", F.col("info").bitwiseAND(255).cast("int").alias("tail"), total.alias("c"), (F.row_number().over(met) == 1).alias("first")).where("c > 0")
+    counts = materialise(summed.withColumn("word", F.when(F.col("c") * FREQUENT >= tokens, F.col("word"))), "counts")
+    head = [r["word"] for r in counts.where("first and word is not null").orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    heads = np.sort(np.array(head, np.int64).view(np.uint64))
+    index = {int(w): k for k, w in enumerate(heads.view(np.int64))}
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in index.items() for x in kv)), F.col("word")) if index else F.lit(None).cast("int")
+    counts = counts.withColumn("class", F.coalesce(F.when(F.col("word").isin(*index), named) if index else named, F.col("tail") + HEAD))
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    rest = counts.where(~F.col("word").isin(signed)) if signed else counts
-    for r in rest.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # TAIL rows at most
-        class_tokens[HEAD + r["tail"]], class_words[HEAD + r["tail"]] = r["n"], r["v"]
-    heads = np.array(head, np.uint64)
+    for r in counts.where("first").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows at most
+        class_tokens[r["class"]], class_words[r["class"]] = r["n"], r["v"]
     cells = blocks.select("held", "lengths", "vocabulary", "tail", "codes").mapInArrow(_count(heads), "history int, class int, n long")
     weights, _ = fit(cells.groupBy("history", "class").agg(F.sum("n").alias("n")), steps)
-    model = Model(weights, heads, total["n"] or 0, total["v"], class_tokens, class_words)
-    known = pairs.select("block", "pos", "word").join(counts.select("word", "c"), "word").select("block", "pos", "c")
-    scored = blocks.drop("seen").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(model), SCORED)
+    model = Model(weights, tokens, int(class_words.sum()), class_tokens, class_words)
+    known = counts.select(F.shiftright("key", POS).alias("block"), F.col("key").bitwiseAND((1 << POS) - 1).cast("int").alias("pos"), (F.shiftleft("c", 8) + F.col("class")).alias("info"))
+    scored = blocks.select("block", "ids", "held", "lengths", "tail", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(model), SCORED)
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
