@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mixing, rules
+from siftwell.llm import licences, mixing, rules
 from siftwell.llm.common import table
 
 
@@ -49,6 +49,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.ordinal import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.jpeg import store_as_jpeg
 
@@ -61,6 +67,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.maxent import language_model
 
@@ -82,8 +92,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scans": op6_license_scans,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_url_filters": op9_url_filters,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -92,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.oracle(DOMAINS, WEIGHTS, **MIX),
     "op5_quality_rules": rules.ORACLE,
+    "op6_license_scans": licences.oracle(),
 }
