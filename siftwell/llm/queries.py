@@ -77,6 +77,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.edits import count_edits, sample_edits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sample_edits().alias("edits"))
+    return count_edits(docs, word_tokenizer())
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.urls import filter_urls
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scans": op6_license_scans,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_token_counts": op8_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
