@@ -221,7 +221,7 @@ def _expect(weights: Weights | None):
 def _totals(cells: DataFrame, weights: Weights | None) -> tuple[float, list[np.ndarray]]:
     """Sum of the tasks' partial totals (GRADIENT_TASKS rows of 3.4 MB at most)."""
     out, loss = [x.astype(np.float64) for x in vars(Weights.zero()).values()], 0.0
-    for row in cells.mapInArrow(_expect(weights), "loss double, bias binary, last binary, skip binary, pair binary").toLocalIterator():
+    for row in cells.mapInArrow(_expect(weights), "loss double, bias binary, last binary, skip binary, pair binary").collect():
         loss += row["loss"]
         for total, name in zip(out, ("bias", "last", "skip", "pair"), strict=True):
             total += np.frombuffer(row[name], np.float32).reshape(total.shape)
@@ -234,8 +234,8 @@ def fit(cells: DataFrame, steps: int = 8, rate: float = 0.5, prior: float = 2.0)
     A step along (counted - expected), each coordinate over the larger of both plus
     ``prior`` (which keeps rare features near zero). Returns the losses in nats too.
     """
-    # DataFrame statistics stay in the tasks' own order: one row a cell, dealt by history.
-    dealt = materialise(cells.repartition(GRADIENT_TASKS, "history").sortWithinPartitions("history"), "cells").repartition(GRADIENT_TASKS, "history")
+    # A history's counts may lie in several tasks: each expects its own share of them.
+    dealt = materialise(cells, "cells").coalesce(GRADIENT_TASKS)
     weights, losses = Weights.zero(), []
     _, counted = _totals(dealt, None)
     share = (counted[0] + 0.01) / (counted[0] + 0.01).sum()
