@@ -78,7 +78,7 @@ class ChunkEncoder:
         found = [[memo.ids(s)] if own is None else [*map(get, own)] for s, own in zip(texts, cut, strict=True)]
         short = [k for k, ids in enumerate(found) if None in ids]
         if short:
-            memo.learn(set(chain.from_iterable(cut[k] for k in short)).difference(memo))
+            memo.learn({p for p in chain.from_iterable(cut[k] for k in short) if p not in memo})
             for k in short:
                 found[k] = [*map(memo.__getitem__, cut[k])]
         return cut, found
