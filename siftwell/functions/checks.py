@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,15 +168,7 @@ def placeholder(value: Column, context: Column) -> Column:
     )
 
 
-def real(line: Column, s: Column) -> Column:
-    """No placeholder; the context is the match itself."""
-    return ~placeholder(s["value"], F.substring(line, s["from"] + 1, s["to"] - s["from"] + 1))
-
-
-def real_assigned(line: Column, s: Column) -> Column:
-    """An assigned value that is no placeholder, no call, and not made of letters or digits alone."""
+def assigned(line: Column, s: Column) -> Column:
+    """An assigned value that is no call and not made of letters or digits alone."""
     v = s["value"]
-    return real(line, s) & (after(line, s) != "(") & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike("^[A-Za-z_][\\w.]*[(\\[]")
-
-
-ASCII_ALNUM = string.ascii_letters + string.digits
+    return (after(line, s) != "(") & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike("^[A-Za-z_][\\w.]*[(\\[]")

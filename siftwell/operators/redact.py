@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.spans import LINE_END
 from siftwell.model import ALLOW_MARK, Config
-from siftwell.operators.scan import _SPAN, _spans, settle
+from siftwell.operators.scan import _SPAN, all_spans, settle
 from siftwell.plans.catalog import rules
 
 _INFRA = {"windows-home-path": "<USER>", "posix-home-path": "<USER>", "sharepoint-personal": "<USER>", "onedrive-tenant": "<ORG>", "sharepoint-tenant": "<ORG>", "private-ipv4": "<PRIVATE_IP>", "internal-host": "<INTERNAL_HOST>"}
@@ -54,7 +54,7 @@ def redact(segments: DataFrame, config: Config = Config(), text: str = "text") -
     def one(raw: Column) -> Column:
         line = F.regexp_replace(raw, f"(?:{LINE_END})$", "")
         end = F.substring(raw, F.length(line) + 1, F.lit(2))
-        spans = settle(F.flatten(F.array(*[_spans(r, k, line, config.allow) for k, r in enumerate(active)])))
+        spans = settle(all_spans(line, active, config.allow))
         spans = F.when(line.contains(ALLOW_MARK), F.array().cast(f"array<{_SPAN}>")).otherwise(spans)
         return F.struct(F.concat(replace_spans(line, spans), end).alias("text"), F.size(spans).alias("n"))
 

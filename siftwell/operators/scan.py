@@ -11,11 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.checks import placeholder
 from siftwell.functions.spans import find_all, lines
 from siftwell.model import ALLOW_MARK, PRIORITY, Config
 from siftwell.plans.catalog import Rule, rules
 
 _SPAN = "struct<priority:int,shorter:int,ord:int,start:int,end:int,category:string,rule:string,value:string>"
+_FOUND = _SPAN[:-1] + ",context:string>"
 
 
 def explode_lines(segments: DataFrame, text: str = "text") -> DataFrame:
@@ -24,7 +26,7 @@ def explode_lines(segments: DataFrame, text: str = "text") -> DataFrame:
     return segments.select(*rest, F.posexplode(lines(F.col(text))).alias("_at", "line_text")).withColumn("line", F.col("_at") + 1).drop("_at")
 
 
-def _spans(rule: Rule, order: int, line: Column, allow: tuple[str, ...]) -> Column:
+def _spans(rule: Rule, order: int, line: Column) -> Column:
     found = find_all(line, rule.pattern)
     if rule.check:
         found = F.filter(found, lambda s: rule.check(line, s))
@@ -38,15 +40,30 @@ def _spans(rule: Rule, order: int, line: Column, allow: tuple[str, ...]) -> Colu
         return F.struct(
             F.lit(priority).alias("priority"), (-n).alias("shorter"), F.lit(order).alias("ord"), s["start"].alias("start"), (s["start"] + n).alias("end"),
             F.lit(rule.category).alias("category"), F.lit(rule.name).alias("rule"), value.alias("value"),
+            (F.substring(line, s["from"] + 1, s["to"] - s["from"] + 1) if rule.opaque else F.lit(None).cast("string")).alias("context"),
         )
 
     out = F.filter(F.transform(found, told), lambda s: s["value"] != "")
-    for regex in allow:
-        out = F.filter(out, lambda s, regex=regex: ~s["value"].rlike(regex))
-    none = F.array().cast(f"array<{_SPAN}>")
+    none = F.array().cast(f"array<{_FOUND}>")
     return F.when(line.rlike(rule.gate), out).otherwise(none) if rule.gate else out
 
 
+def all_spans(line: Column, active: list[Rule], allow: tuple[str, ...] = ()) -> Column:
+    """The spans of all rules in a line, before overlaps are settled.
+
+    Placeholders and the allowlist are judged once for all rules, which keeps the plan small.
+    """
+
+    def stays(s: Column) -> Column:
+        out = s["context"].isNull() | ~placeholder(s["value"], s["context"])
+        for regex in allow:
+            out &= ~s["value"].rlike(regex)
+        return out
+
+    found = F.filter(F.flatten(F.array(*[_spans(r, k, line) for k, r in enumerate(active)])), stays)
+    return F.transform(found, lambda s: s.dropFields("context"))
+
+
 def settle(spans: Column) -> Column:
     """Spans that stay: in order of priority, length and rule, each that meets none kept before."""
     zero = F.array().cast(f"array<{_SPAN}>")
@@ -64,7 +81,7 @@ def scan_lines(df: DataFrame, config: Config = Config(), line: str = "line_text"
     open_ = df.where(~text.contains(ALLOW_MARK))
     if all(r.gate for r in active):
         open_ = open_.where(reduce(lambda a, b: a | b, (text.rlike(g) for g in sorted({r.gate for r in active}))))
-    found = F.flatten(F.array(*[_spans(r, k, text, config.allow) for k, r in enumerate(active)]))
+    found = all_spans(text, active, config.allow)
     met = open_.select(*rest, found.alias("_spans")).where(F.size("_spans") > 0)
     out = met.select(*rest, F.explode(settle(F.col("_spans"))).alias("_s"))
     return out.select(*rest, *[F.col(f"_s.{c}").alias(c) for c in ("start", "end", "category", "rule", "value")])
