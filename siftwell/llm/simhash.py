@@ -251,7 +251,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").cast("long").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.col("text")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
     wanted = chosen.select(F.struct(F.col("_id").isNull(), F.coalesce("_id", F.lit(0)), F.col("_text")).alias("key"), "_n")
-    once = packed.join(materialise(wanted.where("_n = 1"), "kept"), "key").select("row")
+    # The kept keys grow with the corpus: they are never broadcast, at no size.
+    once = packed.join(materialise(wanted.where("_n = 1"), "kept").hint("merge"), "key").select("row")
     # Only rows that occur several times with the same doc_id and text need a choice.
     again = packed.join(materialise(wanted.where("_n > 1"), "repeated"), "key").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     return once.unionByName(again).select("row.*")
