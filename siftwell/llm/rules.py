@@ -84,7 +84,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     measured = measure(docs)
     bound = materialise(limits(measured), "limits")  # small: broadcast where its size allows
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    # `_at` is not deterministic: filters on a verdict need it, so the optimizer can't move
+    # them below the measures, where it would repeat their expressions many times over.
+    base = ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))) & (F.col("_at") >= 0)
     rows = measured.select("_row", "_m.*", "_at").withColumn("base_failed", base)
     met = rows.join(bound, F.col("_row.lang").cast("string").eqNullSafe(F.col("_lang")) & F.col("_row.source").cast("string").eqNullSafe(F.col("_source")))
     inside: Column = F.lit(True)
@@ -101,13 +103,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns.
-
-    The condition on ``_at``, which is not deterministic, keeps the optimizer from
-    moving the filter below the measures, where it would repeat their expressions
-    many times over.
-    """
-    return judge(docs).where("kept and _at >= 0").select("_row.*")
+    """The kept rows of ``docs`` with all their columns."""
+    return judge(docs).where("kept").select("_row.*")
 
 
 _W = f"list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '')"
