@@ -2,61 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.model import Config
+from siftwell.model import ALLOW_MARK, Config
 from siftwell.operators import report
 from siftwell.operators.redact import redact
-from siftwell.operators.scan import scan, scan_lines
-from siftwell.sources import files, history
+from siftwell.operators.scan import explode_lines, merge, scan, scan_lines
+from siftwell.sources import engines, files, history
 
-#: Further engines: name -> (segments -> findings). An engine that is asked for and missing is an error.
-ENGINES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 COLUMNS = ("path", "where", "line", "start", "end", "category", "rule", "value", "engine")
 
 
+@dataclass
+class Scanned:
+    """Findings, files that could not be read (``path, reason``), images that were not, and the number of files."""
+
+    findings: DataFrame
+    unscanned: DataFrame
+    images: DataFrame
+    files: int
+
+
 class Engine:
     """Plans over DataFrames of ``(path, where, text)`` segments."""
 
-    def __init__(self, spark: SparkSession, config: Config = Config()):
-        self.spark, self.config = spark, config
-        self.unavailable = tuple(e for e in config.engines if e not in ENGINES)
+    def __init__(self, spark: SparkSession, config: Config = Config(), ocr: bool = False):
+        self.spark, self.config, self.ocr = spark, config, ocr
+        self.unavailable = engines.missing(config.engines)
 
     def scan(self, segments: DataFrame) -> DataFrame:
         found = scan(segments, self.config)
-        for name in self.config.engines:
-            if name in ENGINES:
-                found = found.unionByName(ENGINES[name](segments), allowMissingColumns=True)
-        return found
+        there = [e for e in self.config.engines if e not in self.unavailable]
+        if not there:
+            return found
+        more = reduce(DataFrame.unionByName, (engines.scan_with(e, segments) for e in there))
+        marked = explode_lines(segments).where(F.col("line_text").contains(ALLOW_MARK)).select("path", "where", "line")
+        more = more.join(marked, ["path", "where", "line"], "left_anti")
+        for regex in self.config.allow:
+            more = more.where(~F.col("value").rlike(regex))
+        return merge(found, more)
 
     def redact(self, segments: DataFrame) -> DataFrame:
         return redact(segments, self.config)
 
-    def scan_folder(self, folder: str) -> tuple[DataFrame, DataFrame]:
-        """Findings and unscanned files of a folder."""
-        found = files.files(self.spark, folder, self.config.exclude)
-        parts = files.container_parts(found)
-        text = files.text_segments(found).unionByName(parts.where("text is not null").select("path", "where", "text"))
-        findings = self.scan(text).select(*COLUMNS)
-        if "pii" in self.config.categories:
-            findings = findings.unionByName(self._authors(findings, parts))
-        return findings, parts.where("reason is not null").select("path", "reason")
+    def scan_text(self, text: str, path: str = "", where: str = "") -> DataFrame:
+        return self.scan(self.spark.createDataFrame([(path, where, text)], "path string, where string, text string")).select(*COLUMNS)
 
-    def _authors(self, findings: DataFrame, parts: DataFrame) -> DataFrame:
-        """Document authors that meet no other finding on their line."""
-        authors = files.document_authors(parts).alias("a")
-        met = (F.col("a.path") == F.col("f.path")) & (F.col("a.where") == F.col("f.where")) & (F.col("a.line") == F.col("f.line")) & (F.col("a.start") < F.col("f.end")) & (F.col("f.start") < F.col("a.end"))
-        return authors.join(findings.alias("f"), met, "left_anti").select(*COLUMNS)
+    def scan_paths(self, targets: list[str]) -> Scanned:
+        """Findings in files and folders."""
+        found = reduce(DataFrame.unionByName, (files.files(self.spark, t, self.config.exclude) for t in targets))
+        parts = files.container_parts(found, self.ocr)
+        plain = files.text_segments(found)
+        segments = plain.unionByName(parts.where("text is not null").select("path", "where", "text"))
+        findings = self.scan(segments).select(*COLUMNS)
+        if "pii" in self.config.categories:
+            findings = merge(findings, files.document_authors(parts))
+        images = files.images(found).limit(0) if self.ocr else files.images(found)
+        n = plain.select("path").unionByName(parts.select("path").distinct()).count()
+        return Scanned(findings, parts.where("reason is not null").select("path", "reason"), images, n)
 
-    def scan_history(self, repo: str, rev: str | None = None) -> DataFrame:
-        lines = history.history_segments(history.added_lines(self.spark, repo, rev))
-        return scan_lines(lines, self.config).withColumn("engine", F.lit("builtin")).select(*COLUMNS)
+    def scan_history(self, repo: str, rev: str | None = None) -> Scanned:
+        """Findings in what the commits of a repository added."""
+        lines = history.added_lines(self.spark, repo, rev)
+        shown = lambda df: df.withColumn("path", F.concat(F.lit(repo.rstrip("/") + "/"), "path"))
+        found = shown(scan_lines(history.history_segments(lines), self.config).withColumn("engine", F.lit("builtin"))).select(*COLUMNS)
+        parts = shown(history.document_parts(self.spark, repo, rev, ocr=self.ocr))
+        told = self.scan(parts.where("text is not null").select("path", "where", "text")).select(*COLUMNS)
+        n = lines.select("commit", "path").distinct().count()
+        return Scanned(found.unionByName(told), parts.where("reason is not null").select("path", "reason"), lines.select("path").limit(0), n)
 
     def summary(self, segments: DataFrame) -> DataFrame:
         return report.summary(self.scan(segments))
 
-    def report(self, findings: DataFrame, fmt: str = "text", **more) -> str:
-        return report.render(findings, fmt, notes=self.unavailable, **more)
+    def report(self, scanned: Scanned, fmt: str = "text") -> str:
+        unscanned = tuple((r["path"], r["reason"]) for r in scanned.unscanned.orderBy("path").collect())
+        return report.render(scanned.findings, fmt, scanned.files, self.unavailable, unscanned, scanned.images.count())

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwell.functions.spans import EDGE, after, before
+from siftwell.plans import fixed
 
 
 def digits(value: Column) -> Column:
@@ -13,7 +17,7 @@ def digits(value: Column) -> Column:
     return F.transform(F.filter(F.split(value, ""), lambda c: c.rlike("[0-9]")), lambda c: c.cast("int"))
 
 
-def weighted(d: Column, weights: list[int]) -> Column:
+def weighted(d: Column, weights: tuple[int, ...]) -> Column:
     pairs = F.zip_with(F.slice(d, 1, len(weights)), F.array(*map(F.lit, weights)), lambda a, b: a * b)
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
 
@@ -31,42 +35,35 @@ def resident_number(line: Column, s: Column) -> Column:
     g = F.get(d, F.lit(6))
     century = F.when(g.isin(1, 2, 5, 6), "19").when(g.isin(3, 4, 7, 8), "20").otherwise("18")
     born = F.try_to_date(F.concat(century, F.substring(plain, 1, 6)), "yyyyMMdd").isNotNull()
-    sound = (11 - weighted(d, [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]) % 11) % 10 == F.get(d, F.lit(12))
-    told = before(line, s, 20).rlike("(?iu)RRN|resident|외국인등록|주민")
+    sound = (11 - weighted(d, fixed.RESIDENT_WEIGHTS) % 11) % 10 == F.get(d, F.lit(12))
+    told = before(line, s, 20).rlike(f"(?iu){fixed.RESIDENT_CUES}")
     return born & (sound | told | (v.rlike("[^0-9]") & g.isin(1, 2, 3, 4)))
 
 
 def business_number(line: Column, s: Column) -> Column:
     d = digits(s["value"])
-    total = weighted(d, [1, 3, 7, 1, 3, 7, 1, 3, 5]) + F.floor(F.get(d, F.lit(8)) * 5 / 10)
-    return ((10 - total % 10) % 10 == F.get(d, F.lit(9))) | before(line, s, 20).rlike("(?iu)business|사업자")
+    total = weighted(d, fixed.BUSINESS_WEIGHTS) + F.floor(F.get(d, F.lit(8)) * 5 / 10)
+    return ((10 - total % 10) % 10 == F.get(d, F.lit(9))) | before(line, s, 20).rlike(f"(?iu){fixed.BUSINESS_CUES}")
 
 
 def email(line: Column, s: Column) -> Column:
     """No repository or machine address and none of a documentation domain."""
     v = s["value"]
     local, domain = F.lower(F.substring_index(v, "@", 1)), F.lower(F.substring_index(v, "@", -1))
-    machine = local.isin("git", "no-reply", "noreply") | (after(line, s) == ":") | domain.rlike("^[0-9.]+$")
-    label = F.split(domain, "[.]")[0].isin("company", "domain", "email", "example", "localhost", "test")
-    suffix = domain.rlike("[.](example|invalid|local|test)$") | domain.endswith("noreply.github.com")
+    machine = local.isin(*fixed.EMAIL_LOCALS) | (after(line, s) == ":") | domain.rlike("^[0-9.]+$")
+    label = F.split(domain, "[.]")[0].isin(*fixed.EMAIL_LABELS)
+    suffix = reduce(or_, (domain.endswith(x) for x in fixed.EMAIL_SUFFIXES))
     return ~(machine | label | suffix | domain.rlike("^[\\w.]*[.](gif|jpe?g|png|svg|webp)$"))
 
 
-_GENERIC = """... * ~ admin all\tusers appveyor build buildagent builder ci circleci default default\tuser docker example foo guest jenkins me
-name public runner runneradmin shared someone travis ubuntu user username users vagrant vssadministrator x you your_name yourname""".split()
-
-
 def username(line: Column, s: Column) -> Column:
     low = F.lower(s["value"])
-    return ~(low.isin(*(w.replace("\t", " ") for w in _GENERIC)) | low.rlike("^[$%<{\\[]") | low.contains("*"))
+    return ~(low.isin(*fixed.GENERIC_USERS) | low.rlike("^[$%<{\\[]") | low.contains("*"))
 
 
 def tenant(line: Column, s: Column) -> Column:
     v = F.trim(s["value"])
-    return (v != "") & ~F.lower(v).isin("personal", "개인") & ~v.rlike("^[<$%]")
-
-
-_ROUTERS = [f"{net}.{host}" for net, hosts in (("10.0.0", (0, 1, 2)), ("192.168.0", (0, 1)), ("192.168.1", (0, 1)), ("172.16.0", (0, 1))) for host in hosts]
+    return (v != "") & ~F.lower(v).isin(*fixed.GENERIC_TENANTS) & ~v.rlike("^[<$%]")
 
 
 def private_ip(line: Column, s: Column) -> Column:
@@ -75,36 +72,25 @@ def private_ip(line: Column, s: Column) -> Column:
     o = F.transform(F.split(v, "[.]"), lambda x: x.cast("int"))
     inside = (o[0] == 10) | ((o[0] == 172) & o[1].between(16, 31)) | ((o[0] == 192) & (o[1] == 168)) | ((o[0] == 100) & o[1].between(64, 127))
     plain = F.forall(o, lambda x: x <= 255) & ~v.rlike("(^|[.])0[0-9]")
-    return plain & inside & ~v.isin(*_ROUTERS)
+    return plain & inside & ~v.isin(*fixed.EXAMPLE_IPS)
 
 
 # --- names -----------------------------------------------------------------
 
-#: The commonest surnames, one syllable each, in code-point order.
-SURNAMES = "".join(sorted(set(
-    "강고곽구권금길김나남노단당도동두라류마맹명모문민박반방배백변복봉부빈사상서석선설성소손송승신심안양어엄여연염예오옥온왕용우원위유육윤은음이인임"
-    "장전정제조좌주지진차창채천최추탁태팽편표피하한함허현형호홍화황가간갈감견경공국기범"
-)))
-_RANKS = "교수 박사 선생 연구원 학생"
-ROLES = sorted({*_RANKS.split(), *(a + b for b, many in {
-    "교수": "겸임 객원 담당 명예 부 석좌 연구 전임 정 조 주임 지도 책임 초빙", "박사": "담당 지도", "선생": "담당 담임 학과",
-    "연구원": "박사후 선임 수석 위촉 전임 책임", "생": "대학원 학부"}.items() for a in many.split())})
-NO_NAMES = sorted("""각각 각자 객원 검토 공통 관리 기타 내부 다른 담당 담임 대기 동료 막내 명예 모든 미상 미정 본인 부서 새로운 선배 선임 센터 수석 승인 시니어
-신규 신입 없다 없음 여러 예비 예정 외부 요청 우리 원로 인턴 작성 저희 전공 전임 전직 전체 정규 주니어 지도 진행 책임 초보 팀장 필요 해당 현직 확인 완료 같은 후배""".split())
-PARTICLES = "(?:" + "|".join(sorted("가 과 께 께서 는 님 도 를 만 에게 에게서 와 은 을 의 이 한테".split(), key=lambda x: (-len(x), x))) + ")*"
+_PARTICLES = f"(?:{fixed.PARTICLES})*"
 
 
 def titled_name(line: Column, s: Column) -> Column:
     """A surname first, and neither a role nor a word that is no name."""
-    whole = F.regexp_replace(F.replace(F.substring(line, s["from"] + 1, s["to"] - s["from"]), F.lit(" "), F.lit("")), PARTICLES + "$", "")
-    starts = whole.rlike("^(?:" + "|".join(r for r in ROLES if len(r) > 2) + ")")
-    return s["value"].rlike(f"^[{SURNAMES}]") & ~whole.isin(*ROLES) & ~starts & ~s["value"].isin(*NO_NAMES)
+    whole = F.regexp_replace(F.replace(F.substring(line, s["from"] + 1, s["to"] - s["from"]), F.lit(" "), F.lit("")), _PARTICLES + "$", "")
+    starts = whole.rlike("^(?:" + "|".join(r for r in fixed.ROLE_WORDS if len(r) > 2) + ")")
+    return s["value"].rlike(f"^[{fixed.SURNAMES}]") & ~whole.isin(*fixed.ROLE_WORDS) & ~starts & ~s["value"].isin(*fixed.NOT_NAMES)
 
 
 def leading_names(value: Column) -> Column:
     """The items in front of the first that is no name."""
     name = F.array_contains
-    good = lambda x: x.rlike(f"^[{SURNAMES}][가-힣]{{1,3}}$") & ~name(F.array(*map(F.lit, [*NO_NAMES, *ROLES])), x)
+    good = lambda x: x.rlike(f"^[{fixed.SURNAMES}][가-힣]{{1,3}}$") & ~name(F.array(*map(F.lit, [*fixed.NOT_NAMES, *fixed.ROLE_WORDS])), x)
     parts = F.transform(F.split(F.regexp_replace(value, "([가-힣]+)", f"{EDGE}$1{EDGE}"), EDGE), lambda x, i: F.struct(x.alias("t"), (i % 2 == 1).alias("w")))
     zero = F.struct(F.lit("").alias("kept"), F.lit("").alias("gap"), F.lit(True).alias("go"))
 
@@ -119,14 +105,6 @@ def leading_names(value: Column) -> Column:
 
 # --- placeholders ----------------------------------------------------------
 
-_FILLERS = sorted("""abc abcdef api apikey bar baz changeme demo dummy example examples fake foo here insert key keys my mykey none null
-pass password placeholder qux redacted replace sample secret test todo token value xxx xxxx your yourapikey yourkey yours""".split())
-_MARKS = ("***", "...", "<", ">", "${", "$(", "{{", "[redacted", "env(", "env:", "getenv", "op://", "os.environ", "process.env", "secrets.", "vault:")
-#: Documentation samples, split so that this file holds none.
-SAMPLES = ("AKIA" + "IOSFODNN7" + "EXAMPLE", "wJalrXUtnFEMI/K7MDENG" + "/bPxRfiCY" + "EXAMPLEKEY")
-_PREFIX = "(?i)^(?:sk-(?:proj-|or-v[0-9]+-|ant-(?:api[0-9]+-)?)?|sk_(?:test|live)_|gh[osp]_|github_pat_|glpat-|hf_|ntn_|secret_|xox[abprs]-|AIza|AKIA|SG[.])"
-
-
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character."""
     chars = F.split(text, "")
@@ -137,7 +115,7 @@ def entropy(text: Column) -> Column:
 
 def _filler(word: Column) -> Column:
     w = F.lower(word)
-    return w.isin(*_FILLERS) | w.rlike("^[0-9]{1,4}$") | w.rlike("^(.)\\1*$")
+    return w.isin(*fixed.FILLER_WORDS) | w.rlike("^[0-9]{1,4}$") | w.rlike("^(.)\\1*$")
 
 
 def _opaque(value: Column) -> Column:
@@ -151,13 +129,12 @@ def placeholder(value: Column, context: Column) -> Column:
     v = F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", "")
     low = F.lower(context)
     marked = F.lit(False)
-    for mark in _MARKS:
+    for mark in fixed.CODE_MARKERS:
         marked |= low.contains(mark)
-    body = F.regexp_replace(v, _PREFIX, "")
+    body = F.regexp_replace(v, fixed.VENDOR_PREFIX, "")
     words = F.filter(F.split(body, "[-_./\\s:]+"), lambda w: w != "")
     return (
         (v == "")
-        | v.isin(*SAMPLES)
         | v.contains("EXAMPLE")
         | (marked & ~_opaque(v))
         | v.rlike("^[A-Z]+(?:_[A-Z]+)+$")

@@ -6,6 +6,10 @@ its parts set apart, the result is split, and one fold adds up lengths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import utils
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +20,17 @@ EDGE, SEAM = "\ue000", "\ue001"
 LINE_END = "\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
+@contextmanager
+def plain_building() -> Iterator[None]:
+    """Leaves out the recording of each expression's call site, most of the time that a plan of thousands takes to build."""
+    before = getattr(utils, "_enable_debugging_cache", None)
+    utils._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        utils._enable_debugging_cache = before
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; a trailing line end adds none."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_END)

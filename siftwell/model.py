@@ -16,6 +16,29 @@ SPAN = "struct<start:int,end:int,value:string,from:int,to:int>"
 FINDING = "path string, where string, line int, start int, end int, category string, rule string, value string, engine string"
 UNSCANNED = "path string, reason string"
 CONFIG_NAME = ".siftwell.toml"
+SAMPLE = """# Every key is optional.
+categories = ["secret", "pii", "infra", "custom"]
+# Further scanners, where they are installed: gitleaks, maskingtape, ko-pii.
+engines = []
+# Files (json, .env or one a line) whose values are secrets; they are never printed.
+known_secrets = []
+# Globs of paths that are not scanned, from the scanned folder on.
+exclude = []
+# Regular expressions; a finding whose value has a match is dropped.
+allow = []
+
+[custom]
+# Whole words, in any case.
+terms = []
+# Regular expressions; a group named v is what is reported.
+patterns = []
+# Words whose nearby number is sensitive.
+metrics = []
+metric_window = 40
+# People, and files with one name a line.
+names = []
+names_files = []
+"""
 
 
 @dataclass(frozen=True)
@@ -44,13 +67,15 @@ def read_names(text: str) -> list[str]:
     return [n for line in text.splitlines() if (n := line.split("#", 1)[0].strip())]
 
 
-def load_config(start: str | Path) -> Config:
-    """The configuration file nearest to ``start``, upwards; defaults if there is none. Unknown keys are errors."""
+def load_config(start: str | Path, named: str | Path | None = None) -> Config:
+    """The configuration file ``named``, else the one nearest to ``start``, upwards; defaults if there is none.
+
+    Unknown keys are errors.
+    """
     at = Path(start).resolve()
-    for folder in [at, *at.parents] if at.is_dir() else at.parents:
-        if (file := folder / CONFIG_NAME).is_file():
-            break
-    else:
+    near = (folder / CONFIG_NAME for folder in ([at, *at.parents] if at.is_dir() else at.parents))
+    file = Path(named) if named else next((f for f in near if f.is_file()), None)
+    if file is None:
         return Config()
     told = tomllib.loads(file.read_text("utf-8"))
     custom = told.pop("custom", {})

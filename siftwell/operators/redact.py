@@ -9,13 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.spans import LINE_END
+from siftwell.functions.spans import LINE_END, plain_building
 from siftwell.model import ALLOW_MARK, Config
 from siftwell.operators.scan import _SPAN, all_spans, settle
 from siftwell.plans.catalog import rules
-
-_INFRA = {"windows-home-path": "<USER>", "posix-home-path": "<USER>", "sharepoint-personal": "<USER>", "onedrive-tenant": "<ORG>", "sharepoint-tenant": "<ORG>", "private-ipv4": "<PRIVATE_IP>", "internal-host": "<INTERNAL_HOST>"}
-
+from siftwell.plans.fixed import INFRA_TAGS
 
 class UnsafeRedaction(RuntimeError):
     """A span no longer holds its value, or JSON would break."""
@@ -25,7 +23,7 @@ def replacement(category: Column, rule: Column) -> Column:
     """What stands for a finding."""
     short = F.element_at(F.split(rule, ":"), -1)
     infra = F.lit("<INFRA>")
-    for name, tag in _INFRA.items():
+    for name, tag in INFRA_TAGS.items():
         infra = F.when(rule == name, tag).otherwise(infra)
     return (
         F.when(category == "secret", F.concat(F.lit("[REDACTED:"), short, F.lit("]")))
@@ -42,6 +40,7 @@ def replace_spans(line: Column, spans: Column) -> Column:
     return F.aggregate(back, line, lambda text, s: F.concat(F.substring(text, F.lit(1), s["start"]), replacement(s["category"], s["rule"]), F.substring(text, s["end"] + 1, F.length(text))))
 
 
+@plain_building()
 def redact(segments: DataFrame, config: Config = Config(), text: str = "text") -> DataFrame:
     """``segments`` with ``text`` redacted and ``n_redacted`` added: no shuffle, one row in, one out.
 

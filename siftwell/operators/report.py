@@ -33,6 +33,15 @@ def totals(findings: DataFrame) -> DataFrame:
     return findings.rollup("category", "rule").agg(F.count("*").alias("n_findings"))
 
 
+def recall(corpus: DataFrame, findings: DataFrame) -> DataFrame:
+    """Entries and hits by category of ``corpus(idx, category, ...)``; an entry is hit if any of its lines is.
+
+    In a category of clean entries the hits are false alarms.
+    """
+    hit = findings.select("idx").distinct().withColumn("_hit", F.lit(1))
+    return corpus.select("idx", "category").join(hit, "idx", "left").groupBy("category").agg(F.count("*").alias("n_entries"), F.count("_hit").alias("n_hit"))
+
+
 def _where(path: str = "path", where: str = "where") -> Column:
     shown = F.when(F.coalesce(F.col(path), F.lit("")) == "", "<stdin>").otherwise(F.col(path))
     inner = F.when(F.coalesce(F.col(where), F.lit("")) != "", F.concat(F.lit(" ["), F.col(where), F.lit("]"))).otherwise("")

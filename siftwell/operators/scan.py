@@ -6,13 +6,14 @@ is unfolded last. Lines that no gate lets through are dropped before any pattern
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.checks import placeholder
-from siftwell.functions.spans import find_all, lines
+from siftwell.functions.spans import find_all, lines, plain_building
 from siftwell.model import ALLOW_MARK, PRIORITY, Config
 from siftwell.plans.catalog import Rule, rules
 
@@ -48,6 +49,7 @@ def _spans(rule: Rule, order: int, line: Column) -> Column:
     return F.when(line.rlike(rule.gate), out).otherwise(none) if rule.gate else out
 
 
+@plain_building()
 def all_spans(line: Column, active: list[Rule], allow: tuple[str, ...] = ()) -> Column:
     """The spans of all rules in a line, before overlaps are settled.
 
@@ -64,13 +66,20 @@ def all_spans(line: Column, active: list[Rule], allow: tuple[str, ...] = ()) ->
     return F.transform(found, lambda s: s.dropFields("context"))
 
 
-def settle(spans: Column) -> Column:
+@lru_cache(maxsize=64)
+def _spans_of(line: str, active: tuple[Rule, ...], allow: tuple[str, ...], gateway: int) -> Column:
+    """The expression over a named column; building one takes longer than planning with it."""
+    return all_spans(F.col(line), list(active), allow)
+
+
+def settle(spans: Column, kind: str = _SPAN) -> Column:
     """Spans that stay: in order of priority, length and rule, each that meets none kept before."""
-    zero = F.array().cast(f"array<{_SPAN}>")
+    zero = F.array().cast(f"array<{kind}>")
     meets = lambda kept, s: F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
     return F.aggregate(F.sort_array(spans), zero, lambda kept, s: F.when(meets(kept, s), kept).otherwise(F.concat(kept, F.array(s))))
 
 
+@plain_building()
 def scan_lines(df: DataFrame, config: Config = Config(), line: str = "line_text") -> DataFrame:
     """Findings of a table with one line of text per row; its other columns are kept."""
     active = rules(config)
@@ -81,7 +90,7 @@ def scan_lines(df: DataFrame, config: Config = Config(), line: str = "line_text"
     open_ = df.where(~text.contains(ALLOW_MARK))
     if all(r.gate for r in active):
         open_ = open_.where(reduce(lambda a, b: a | b, (text.rlike(g) for g in sorted({r.gate for r in active}))))
-    found = all_spans(text, active, config.allow)
+    found = _spans_of(line, tuple(active), config.allow, id(SparkContext._gateway))
     met = open_.select(*rest, found.alias("_spans")).where(F.size("_spans") > 0)
     out = met.select(*rest, F.explode(settle(F.col("_spans"))).alias("_s"))
     return out.select(*rest, *[F.col(f"_s.{c}").alias(c) for c in ("start", "end", "category", "rule", "value")])
@@ -93,3 +102,20 @@ def scan(segments: DataFrame, config: Config = Config()) -> DataFrame:
     Null texts have no lines. ``value`` is raw: publish with :func:`siftwell.operators.report.published`.
     """
     return scan_lines(explode_lines(segments), config).withColumn("engine", F.lit("builtin"))
+
+
+_MERGED = _SPAN[:-1] + ",engine:string>"
+
+
+def merge(*findings: DataFrame) -> DataFrame:
+    """Findings of several detectors with overlaps settled per line; on a tie the earlier one stays.
+
+    Groups are single lines, so none grows with the corpus.
+    """
+    rows = reduce(DataFrame.unionByName, (f.select("path", "where", "line", "start", "end", "category", "rule", "value", "engine", F.lit(k).alias("ord")) for k, f in enumerate(findings)))
+    priority = F.when(F.col("rule") == "known-value", 0)
+    for name, p in PRIORITY.items():
+        priority = priority.when(F.col("category") == name, p)
+    span = F.struct(priority.otherwise(9).alias("priority"), (F.col("start") - F.col("end")).alias("shorter"), "ord", "start", "end", "category", "rule", "value", "engine").cast(_MERGED)
+    kept = rows.groupBy("path", "where", "line").agg(F.collect_list(span).alias("_s")).select("path", "where", "line", F.explode(settle(F.col("_s"), _MERGED)).alias("_s"))
+    return kept.select("path", "where", "line", *[F.col(f"_s.{c}").alias(c) for c in ("start", "end", "category", "rule", "value", "engine")])

@@ -5,8 +5,10 @@ Values that look like credentials come from a seeded generator; none is written
 
 from __future__ import annotations
 
+import io
 import random
 import string
+import zipfile
 
 _AN = string.ascii_letters + string.digits
 _HEX = "0123456789abcdef"
@@ -167,3 +169,37 @@ GUARDED = [
     ("NaN", "NaN x", False),
     ("", "", True),
 ]
+
+_W = 'xmlns:w="http://w" '
+
+
+def zipped(parts: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+_SHEET = zipped({"xl/sharedStrings.xml": "<sst><si><t>mail to </t><t>ada@lab-mail.kr</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><row><c t="s"><v>0</v></c><c><v>5</v></c></row></worksheet>'})
+#: Office files as (path, content).
+CONTAINERS: list[tuple[str, bytes]] = [
+    ("a.docx", zipped({
+        "word/document.xml": f'<w:document {_W}><w:p><w:r><w:t>call 010-23</w:t></w:r><w:r><w:t>45-6789</w:t></w:r></w:p><w:p><w:del w:author="Ada Roe"><w:r><w:delText>old bo@lab-mail.kr</w:delText></w:r></w:del></w:p></w:document>',
+        "docProps/core.xml": "<cp><creator>Bo Kim</creator><lastModifiedBy>python-docx</lastModifiedBy></cp>",
+        "word/embeddings/table.xlsx": _SHEET,
+    })),
+    ("b.odt", zipped({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": "<d><p>see <span>/home/jroe</span>/x</p></d>"})),
+    ("c.docx", b"no zip"), ("d.hwp", b"x"), ("~$a.docx", b"x"),
+    ("e.docx", zipped({"word/document.xml": '<!DOCTYPE d [<!ENTITY a "b">]><d><p>&a;</p></d>'})),
+]
+#: What is found in them: path, where, line, start, rule.
+IN_CONTAINERS = [
+    ("a.docx", "docProps/core.xml [properties]", 1, 9, "document-author"),
+    ("a.docx", "word/document.xml", 1, 5, "kr-mobile"),
+    ("a.docx", "word/document.xml [authors]", 1, 8, "document-author"),
+    ("a.docx", "word/document.xml [tracked deletion]", 1, 4, "email"),
+    ("a.docx", "word/embeddings/table.xlsx!xl/sharedStrings.xml", 1, 8, "email"),
+    ("b.odt", "content.xml", 1, 10, "posix-home-path"),
+]
+UNREADABLE = ["c.docx", "d.hwp", "e.docx", "~$a.docx"]

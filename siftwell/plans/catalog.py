@@ -14,6 +14,7 @@ from pyspark.sql import Column
 
 from siftwell.functions import checks
 from siftwell.model import Config
+from siftwell.plans import fixed
 
 Check = Callable[[Column, Column], Column]
 
@@ -44,49 +45,41 @@ class Rule:
 # A number glued to one of these belongs to a float, an identifier or a coordinate.
 _FREE, _ENDS = "(?<![-+.\\w])", "(?!\\d|[-.\\w]\\w)"
 _DIGITS, _HANGUL = "[0-9]{4}", "[가-힣]"
-_PROVINCES = "강원|경기|경남|경북|광주|대구|대전|부산|서울|세종|울산|인천|전남|전북|제주|충남|충북"
-
-
 def _cue(words: str, most: int) -> str:
     return f"(?:{words})[^\\d\\n]{{0,{most}}}"
 
 
-_YMD = "(?:20|19)\\d{2}\\s*[-./년]\\s*\\d{1,2}\\s*[-./월]\\s*\\d{1,2}"
-_TITLES = "|".join("과장 교수 대리 박사 부장 사원 선생 소장 실장 씨 연구원 원장 주임 차장 팀장 학생".split())
-_LABELS = "|".join("검토자? 결재자? 구성원 담당자? 대표자? 명단 발신인? 보호자 성명 성함 수신인? 승인자? 신청인 연락처 위원 이름 작성자? 저자 참석자? 참여자 책임자".split())
-_ID_WORDS = "|".join([*"교번 사번 직번 학번".split(), "교직원\\s?번호", *(f"{w}\\s?(?:number|no\\.?|id)" for w in ("employee", "student"))])
-_BANKS = "|".join("account 계좌 국민 기업 농협 새마을 수협 신한 신협 우리 우체국 은행 카카오뱅크 케이뱅크 토스 하나".split())
-_PLATE = "".join(sorted("가거고구나너노누다더도두라러로루마머모무바버보부사서소수아어오우자저조주배하허호"))
+_YMD = "(?:19|20)\\d{2}\\s*[-./년]\\s*\\d{1,2}\\s*[-./월]\\s*\\d{1,2}"
 _UNIT = "[가-힣0-9]+"
 
 PII = (
-    Rule("pii", "kr-rrn", "\\d\\d(?:1[0-2]|0[1-9])(?:3[01]|[12]\\d|0[1-9])[\\s-]?\\d{7}", left=_FREE, right=_ENDS, gate=_DIGITS, check=checks.resident_number),
+    Rule("pii", "kr-rrn", "\\d\\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])[\\s-]?\\d{7}", left=_FREE, right=_ENDS, gate=_DIGITS, check=checks.resident_number),
     Rule("pii", "kr-mobile", "(?:01[016-9]|\\+82[\\s-]?1[016-9])[\\s.-]?\\d{3,4}[\\s.-]?\\d{4}", left=_FREE, right=_ENDS, gate=_DIGITS),
     Rule("pii", "kr-landline", "(?:0|\\+82[\\s-]?)(?:[3-6][1-5]|2)[\\s.)-]\\d{3,4}[\\s.-]\\d{4}", left=_FREE, right=_ENDS, gate=_DIGITS),
     Rule("pii", "email", "[0-9A-Za-z][-+.\\w]*@[-0-9A-Za-z]+(?:[.][-0-9A-Za-z]+)+", left="(?<![-+.\\w])", gate="@", check=checks.email),
     Rule(
-        "pii", "payment-card", "3[47]\\d\\d(?<a>[\\s-]?)\\d{6}\\k<a>\\d{5}|[24569]\\d{3}(?<b>[\\s-]?)\\d{4}\\k<b>\\d{4}\\k<b>\\d{4}|3\\d{3}(?<c>[\\s-]?)\\d{4}\\k<c>\\d{4}\\k<c>\\d{4}",
+        "pii", "payment-card", "[2-69]\\d{3}(?<s>[-\\s]?)\\d{4}\\k<s>\\d{4}\\k<s>\\d{4}|3[47]\\d{2}(?<t>[-\\s]?)\\d{6}\\k<t>\\d{5}",
         left=f"{_FREE}(?<!\\d[\\s-])", right=f"(?![\\s-]\\d){_ENDS}", gate=_DIGITS, check=checks.card,
     ),
     Rule("pii", "kr-business-reg-no", "\\d{3}-\\d\\d-\\d{5}", left=_FREE, right=_ENDS, gate=_DIGITS, check=checks.business_number),
-    Rule("pii", "bank-account", "\\d{2,6}-\\d{2,6}-\\d{2,7}(?:-\\d{1,3})?", lead=_cue(_BANKS, 15), right="(?!\\d)", gate="[0-9]", flags="Ui"),
-    Rule("pii", "passport-no", "[DGMRST](?:\\d{3}[A-Z]\\d{4}|\\d{8})", lead=_cue("passport|여권", 12), right="\\b", gate="[0-9]", flags="Ui"),
-    Rule("pii", "kr-driver-license", "\\d\\d-\\d\\d-\\d{6}-\\d\\d", lead=_cue("license|면허", 12), right="(?!\\d)", gate="[0-9]", flags="Ui"),
+    Rule("pii", "bank-account", "\\d{2,6}-\\d{2,6}-\\d{2,7}(?:-\\d{1,3})?", lead=_cue(fixed.BANK_CUES, 15), right="(?!\\d)", gate="[0-9]", flags="Ui"),
+    Rule("pii", "passport-no", "[DGMRST](?:\\d{3}[A-Z]\\d{4}|\\d{8})", lead=_cue(fixed.PASSPORT_CUES, 12), right="\\b", gate="[0-9]", flags="Ui"),
+    Rule("pii", "kr-driver-license", "\\d\\d-\\d\\d-\\d{6}-\\d\\d", lead=_cue(fixed.LICENCE_CUES, 12), right="(?!\\d)", gate="[0-9]", flags="Ui"),
     Rule(
         "pii", "kr-address",
-        f"(?:{_PROVINCES}|전라[남북]|경상[남북]|충청[남북])[가-힣]*\\s+(?:[가-힣]+[구군시]\\s+){{1,2}}"
-        f"(?:(?:{_UNIT}[가동면읍]\\s+)?{_UNIT}[길로]\\s*\\d+(?:-\\d+)?|(?:{_UNIT}[면읍]\\s+)?{_UNIT}[가동리]\\s*\\d+(?:-\\d+)?\\s*(?:번지)?)",
+        f"(?:{fixed.ADDRESS_PROVINCES})[가-힣]*\\s+(?:[가-힣]+(?:시|군|구)\\s+){{1,2}}"
+        f"(?:(?:{_UNIT}(?:읍|면|동|가)\\s+)?{_UNIT}(?:로|길)\\s*\\d+(?:-\\d+)?|(?:{_UNIT}(?:읍|면)\\s+)?{_UNIT}(?:동|리|가)\\s*\\d+(?:-\\d+)?\\s*(?:번지)?)",
         gate=_HANGUL,
     ),
-    Rule("pii", "kr-name-title", "[가-힣]{2,4}?", tail=f"\\s?(?:{_TITLES}){checks.PARTICLES}", left="(?<![가-힣])", right="(?![가-힣])", gate=_HANGUL, check=checks.titled_name),
+    Rule("pii", "kr-name-title", "[가-힣]{2,4}?", tail=f"\\s?(?:{fixed.TITLES})(?:{fixed.PARTICLES})*", left="(?<![가-힣])", right="(?![가-힣])", gate=_HANGUL, check=checks.titled_name),
     Rule(
-        "pii", "kr-name-labeled", "[가-힣]{2,4}(?:\\s*(?:및|[/·、,])\\s*[가-힣]{2,4})*", lead=f"(?:{_LABELS})(?:\\s*(?:명단|목록|명))?\\s*[：:]\\s*",
+        "pii", "kr-name-labeled", "[가-힣]{2,4}(?:\\s*(?:[,、·/]|및)\\s*[가-힣]{2,4})*", lead=f"(?:{fixed.NAME_LABELS})(?:\\s*(?:목록|명단|명))?\\s*[：:]\\s*",
         right="(?![가-힣])", gate=_HANGUL, narrow=checks.leading_names,
     ),
-    Rule("pii", "kr-vehicle-plate", f"(?:(?:{_PROVINCES})\\s?)?\\d{{2,3}}\\s?[{_PLATE}]\\s?\\d{{4}}", left="(?<![가-힣\\d])", right="(?!\\d)", gate="[0-9]\\s?[가-힣]\\s?[0-9]"),
-    Rule("pii", "kr-student-employee-id", "[A-Z]{0,4}-?\\d{4,10}(?:-\\d{2,6}){0,2}", lead=f"(?:{_ID_WORDS})\\s*[#：:]?\\s*", right="(?![-\\d])", gate="(?i)employee|student|교직원|교번|사번|직번|학번", flags="Ui"),
-    Rule("pii", "kr-birthdate", f"(?:[가-힣]{{2,4}}\\s*[(]?\\s*)?{_YMD}\\s*일?[.]?\\s*(?:년생|출생|생)", gate="[0-9]"),
-    Rule("pii", "kr-birthdate", f"{_YMD}일?", lead="(?:DOB|date of birth|생년월일|생일)\\s*[：:]?\\s*", gate="[0-9]", flags="Ui"),
+    Rule("pii", "kr-vehicle-plate", f"(?:(?:{fixed.PROVINCES})\\s?)?\\d{{2,3}}\\s?[{fixed.PLATE_SYLLABLES}]\\s?\\d{{4}}", left="(?<![가-힣\\d])", right="(?!\\d)", gate="[0-9]\\s?[가-힣]\\s?[0-9]"),
+    Rule("pii", "kr-student-employee-id", "[A-Z]{0,4}-?\\d{4,10}(?:-\\d{2,6}){0,2}", lead=f"(?:{fixed.ID_CUES})\\s*[#：:]?\\s*", right="(?![-\\d])", gate="(?i)학번|사번|직번|교번|교직원|student|employee", flags="Ui"),
+    Rule("pii", "kr-birthdate", f"(?:[가-힣]{{2,4}}\\s*[(]?\\s*)?{_YMD}\\s*일?[.]?\\s*(?:생|출생|년생)", gate="[0-9]"),
+    Rule("pii", "kr-birthdate", f"{_YMD}일?", lead=f"(?:{fixed.BIRTH_CUES})\\s*[：:]?\\s*", gate="[0-9]", flags="Ui"),
 )
 
 _SLASH = "[\\\\/]+"
@@ -173,9 +166,6 @@ def custom(config: Config) -> list[Rule]:
     return out
 
 
-_FOLLOWS = "|".join("가 과 과장 교수 군 으로 께 네 누나 는 님 대리 도 랑 로 를 만 박사 부장 선배 선생 실장 씨 양 언니 에 였 연구원 오빠 와 은 을 의 이 입니 쪽 측 팀장 학생 한테 형 후배".split())
-
-
 def people(config: Config) -> list[Rule]:
     """Rules of known names and their usual rearrangements."""
     hangul, latin = set(), set()
@@ -188,7 +178,7 @@ def people(config: Config) -> list[Rule]:
     long_first = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
     out = []
     if hangul:
-        out.append(Rule("pii", "known-person", long_first(hangul), left="(?<![가-힣])", right=f"(?=$|[^가-힣]|{_FOLLOWS})"))
+        out.append(Rule("pii", "known-person", long_first(hangul), left="(?<![가-힣])", right=f"(?=$|[^가-힣]|{fixed.NAME_FOLLOWERS})"))
     if latin:
         out.append(Rule("pii", "known-person", long_first(re.escape(w) for w in latin), left="(?<![.0-9A-Za-z])", right="(?![0-9A-Za-z])", flags="i-U"))
     return out

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from siftwell.model import Config
 from siftwell.operators import report
 from siftwell.operators.redact import json_guard, redact
-from siftwell.operators.scan import _SPAN, explode_lines, scan, settle
+from siftwell.operators.scan import _SPAN, explode_lines, merge, scan, settle
 from siftwell.plans import cases
+from siftwell.sources import files
 from siftwell.streaming.scan import finished
 
 #: What the tables can hold besides nothing: see the tests for that claim.
@@ -129,11 +130,35 @@ def json_guarding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_guard(rows).select("case_id", "safe")
 
 
+def _containers(spark: SparkSession) -> DataFrame:
+    rows = [(path, len(content), bytearray(content)) for path, content in cases.CONTAINERS]
+    return files.container_parts(spark.createDataFrame(rows, "path string, length long, content binary"))
+
+
+def container_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _containers(spark)
+    found = scan(parts.where("text is not null").select("path", "where", "text"), Config(categories=("pii", "infra")))
+    return merge(found, files.document_authors(parts)).select("path", "where", "line", "start", "rule")
+
+
+def container_unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark).where("reason is not null").select("path")
+
+
+def recall_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many constructed entries of each category are hit; clean ones are named so."""
+    rows = [(k, c if rule else "clean", lead + value + tail) for k, (c, rule, lead, value, tail) in enumerate(_CORPUS)]
+    corpus = spark.createDataFrame(rows, "idx int, category string, text string")
+    return report.recall(corpus, scan(corpus.select("idx", "text"), Config()))
+
+
+_CORPUS = [*cases.PII, *cases.INFRA, *cases.SECRET]
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         findings_summary, findings, findings_by_source, findings_by_label, findings_totals, document_lines, clean_documents, page_findings, redacted_documents, redacted_is_clean,
-        report_text, report_json, report_sarif, suppressed_findings, stream_findings, overlap_settling, json_guarding,
+        report_text, report_json, report_sarif, suppressed_findings, stream_findings, overlap_settling, json_guarding, container_findings, container_unscanned, recall_by_category,
     )
 }
 
@@ -155,7 +180,7 @@ _DOMAIN = "lower(regexp_extract(value, '@(.*)$', 1))"
 
 def _base(table: str, key: str, text: str) -> str:
     """Findings of emails, cards and 40-digit tokens: (key, line, start, end, category, rule, value)."""
-    card = "[24-69][0-9]{3}(?:-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{12}| [0-9]{4} [0-9]{4} [0-9]{4})"
+    card = "(?:[2-69][0-9]{3}(?:-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{12}| [0-9]{4} [0-9]{4} [0-9]{4})|3[47][0-9]{2}(?:-[0-9]{6}-[0-9]{5}|[0-9]{11}| [0-9]{6} [0-9]{5}))"
     digits = "list_reverse(string_split(regexp_replace(value, '[^0-9]', '', 'g'), ''))"
     doubled = "list_sum(list_transform(ds, lambda x, i: CASE WHEN i % 2 = 1 THEN x::int WHEN x::int > 4 THEN 2 * x::int - 9 ELSE 2 * x::int END))"
     return f"""
@@ -212,5 +237,8 @@ ORACLES: dict[str, str] = {
     "suppressed_findings": f"{_DOCS} SELECT rule, count(*) n_findings FROM f WHERE rule = 'email' AND NOT regexp_matches(value, '(?i)@[^@]*[.]org$') GROUP BY rule",
     "overlap_settling": "SELECT case_id, start, \"end\", ord FROM (VALUES " + ", ".join(str(r[:1] + r[2:5]) for r in cases.OVERLAPS if r[5]) + ') AS t(case_id, start, "end", ord)',
     "json_guarding": "SELECT case_id, safe FROM (VALUES " + ", ".join(f"({k}, {str(s).lower()})" for k, (_, _, s) in enumerate(cases.GUARDED)) + ") AS t(case_id, safe)",
+    "container_findings": 'SELECT * FROM (VALUES ' + ", ".join(map(str, cases.IN_CONTAINERS)) + ') AS t(path, "where", line, start, rule)',
+    "container_unscanned": "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in cases.UNREADABLE) + ") AS t(path)",
+    "recall_by_category": "SELECT category, count(*) n_entries, count(*) FILTER (category <> 'clean') n_hit FROM (VALUES " + ", ".join(f"('{c if rule else 'clean'}')" for c, rule, *_ in _CORPUS) + ") AS t(category) GROUP BY category",
 } | {name: _expected(table) for name, (table, _) in CASES.items()}
 

@@ -2,192 +2,84 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
-from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.model import glob_regex
+from siftwell.plans import fixed
+from siftwell.sources.office import CONTAINER_LIMIT, extract
 
-TEXT_LIMIT, CONTAINER_LIMIT, PART_LIMIT = 10 << 20, 200 << 20, 50 << 20
-_PRUNED = ".git .hg .svn .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox dist build .eggs".split()
-ZIPPED = {".docx", ".docm", ".xlsx", ".xlsm", ".pptx", ".pptm", ".odt", ".ods", ".odp", ".hwpx"}
-IMAGES = {".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"}
-OPAQUE = set(".7z .accdb .db .doc .eml .gz .hwp .mdb .msg .ppt .pst .rar .rtf .sqlite .tar .tgz .xls .zip".split())
-BINARY = set(".a .avi .bin .class .dll .dylib .eot .exe .feather .flac .gif .h5 .ico .jar .mkv .mov .mp3 .mp4 .npy .npz .o .ogg .onnx .orc .otf .parquet .pickle .pkl .pt .pth .pyc .pyd .so .tflite .ttf .wasm .wav .whl .woff .woff2 .xz .bz2 .zst".split())
-_PART = re.compile(r"^(?:(?:word|ppt|xl)/.*\.xml|docProps/(?:core|app|custom)\.xml|content\.xml|meta\.xml|styles\.xml|Contents/.*\.xml)$")
-_INNER = re.compile(r"^(?:word|ppt|xl)/embeddings/.*\.(?:docx|docm|xlsx|xlsm|pptx|pptm)$")
-_PERSON = {"author", "initials", "userId", "creator", "displayName", "lastModifiedBy"}
-#: keys of person entries in author and property segments
-PERSON_KEYS = ("author", "creator", "last modified by", "lastmodifiedby", "initials", "userid", "displayname", "manager", "company author")
-_GENERIC = re.compile("(?i)^(?:microsoft.*|openpyxl|python-docx|libreoffice.*|apache poi|unknown|user|author|admin|owner|windows user)$")
-
-
-class Unreadable(ValueError):
-    """A container that can't be read as a whole."""
-
-
-def _name(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
-def _paragraphs(root: ElementTree.Element) -> tuple[list[str], list[str], list[str]]:
-    """Text lines, deleted text and persons of a part; split runs are joined."""
-    text, gone, people = [], [], []
-
-    def walk(node, line: list[str], cut: list[str]) -> None:
-        name = _name(node.tag)
-        for key, value in node.attrib.items():
-            if value.strip() and (_name(key) in _PERSON or (name == "cmAuthor" and _name(key) == "name")):
-                people.append(f"{_name(key)}: {value.strip()}")
-        own = name in ("p", "si", "comment", "row", "h") and name != "comment"
-        inner, dropped = ([], []) if own else (line, cut)
-        if name == "delText":
-            dropped.append(node.text or "")
-        elif name in ("t", "v", "span", "h", "p", "a", "author", "is") and node.text and not (name == "v" and node.attrib.get("t") == "s"):
-            inner.append(node.text)
-            if name == "author" and node.text.strip():
-                people.append(f"author: {node.text.strip()}")
-        elif name == "tab":
-            inner.append("\t")
-        elif name in ("br", "cr", "line-break", "s"):
-            inner.append(" ")
-        for child in node:
-            shared = _name(child.tag) == "v" and node.attrib.get("t") == "s"
-            if not shared:
-                walk(child, inner, dropped)
-            if child.tail and child.tail.strip():
-                inner.append(child.tail)
-        if name in ("c", "tc", "table-cell"):
-            inner.append("\t")
-        if own:
-            if "".join(inner).strip():
-                text.append("".join(inner))
-            if "".join(dropped).strip():
-                gone.append("".join(dropped))
-
-    line, cut = [], []
-    walk(root, line, cut)
-    if "".join(line).strip():
-        text.append("".join(line))
-    if "".join(cut).strip():
-        gone.append("".join(cut))
-    return text, gone, people
-
-
-def read_zip(content: bytes, prefix: str = "", depth: int = 0) -> tuple[list[tuple[str, str]], str | None]:
-    """Segments ``(where, text)`` of an office file, and why it was not read in full."""
-    out: list[tuple[str, str]] = []
-    why = None
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for info in z.infolist():
-            name = info.filename
-            if info.file_size > PART_LIMIT and (_PART.match(name) or _INNER.match(name)):
-                why = f"part too large: {name}"
-            elif _INNER.match(name) and depth == 0:
-                inner, told = read_zip(z.read(name), f"{prefix}{name}!", 1)
-                out += inner
-                why = why or told
-            elif _PART.match(name):
-                raw = z.read(name)
-                if b"<!ENTITY" in raw or b"<!DOCTYPE" in raw:
-                    raise Unreadable(f"entities in {name}")
-                root = ElementTree.fromstring(raw)
-                if "docProps/" in name or name == "meta.xml":
-                    lines = [f"{_name(e.tag)}: {e.text.strip()}" for e in root.iter() if e.text and e.text.strip()]
-                    out.append((f"{prefix}{name} [properties]", "\n".join(lines)))
-                    continue
-                for kind, lines in zip(("", " [tracked deletion]", " [authors]"), _paragraphs(root), strict=True):
-                    if lines:
-                        out.append((f"{prefix}{name}{kind}", "\n".join(lines)))
-    return out, why
-
-
-def read_pdf(content: bytes) -> tuple[list[tuple[str, str]], str | None]:
-    try:
-        import pypdf
-    except ImportError:
-        return [], "no reader for .pdf: pypdf is not installed"
-    reader = pypdf.PdfReader(io.BytesIO(content))
-    if reader.is_encrypted:
-        return [], "encrypted"
-    out = [(f"page {k}", page.extract_text() or "") for k, page in enumerate(reader.pages, 1)]
-    meta = "\n".join(f"{k.lstrip('/')}: {v}" for k, v in (reader.metadata or {}).items())
-    return [*out, ("metadata", meta)], None if any(t.strip() for _, t in out) else "no text layer"
-
-
-def extract(path: str, content: bytes) -> tuple[list[tuple[str, str]], str | None]:
-    """Segments of a container by its suffix, and a reason if it is not (fully) scanned."""
-    at = PurePosixPath(path)
-    suffix = at.suffix.lower()
-    if at.name.startswith("~$"):
-        return [], "lock file"
-    if len(content) > CONTAINER_LIMIT:
-        return [], "container too large"
-    try:
-        if suffix in ZIPPED:
-            return read_zip(content)
-        if suffix == ".pdf":
-            return read_pdf(content)
-    except Exception as e:  # a broken container of any kind is unscanned, never skipped
-        return [], f"unreadable: {type(e).__name__}: {e}"
-    return [], f"no reader for {suffix}"
-
-
-def _suffix():
-    return F.lower(F.regexp_extract("path", "([.][^./]+)$", 1))
+TEXT_LIMIT = 10 << 20
+CONTAINERS = (*fixed.ZIPPED, *fixed.OPAQUE, ".pdf")
+PARTS = "path string, where string, text string, reason string"
+
+
+def suffix(path: str = "path") -> Column:
+    return F.lower(F.regexp_extract(path, "([.][^./]+)$", 1))
 
 
 def files(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """``(path, length, content)`` of a folder's files without pruned folders and excluded globs.
+    """``(path, length, content)`` of a folder's files without skipped folders and excluded globs.
 
-    ``content`` is only read where a later step uses it.
+    A single file is taken whatever the globs say. ``content`` is only read where a
+    later step uses it.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    pruned = "|".join(re.escape(d) for d in _PRUNED)
-    inside = F.expr(f"substring(path, instr(path, '{folder.rstrip('/')}') + {len(folder.rstrip('/'))})")
-    df = df.where(~inside.rlike(f"/(?:{pruned})/|[.]egg-info/"))
+    root = folder.rstrip("/")
+    inside = F.expr(f"substring(path, instr(path, '{root}') + {len(root)})")
+    skipped = "|".join(re.escape(d) for d in fixed.SKIPPED_FOLDERS)
+    df = df.where(~inside.rlike(f"^(?:/.*)?/(?:{skipped})/"))
     for glob in exclude:
-        df = df.where(~(F.col("path").rlike(glob_regex(glob)) | F.ltrim(F.lit("/"), inside).rlike(glob_regex(glob))))
-    return df.select("path", "length", "content")
+        df = df.where((inside == "") | ~(F.regexp_replace("path", "^file:(//)?", "").rlike(glob_regex(glob)) | F.ltrim(inside, F.lit("/")).rlike(glob_regex(glob))))
+    return df.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "length", "content")
 
 
 def text_segments(df: DataFrame) -> DataFrame:
     """``(path, where, text)`` of plain-text files; undecodable bytes become U+FFFD."""
-    known = sorted(ZIPPED | IMAGES | OPAQUE | BINARY | {".pdf"})
-    plain = df.where(~_suffix().isin(*known) & (F.col("length") <= TEXT_LIMIT))
+    plain = df.where(~suffix().isin(*CONTAINERS, *fixed.IMAGES, *fixed.BINARY) & ~F.col("path").rlike("/~[$][^/]*$") & (F.col("length") <= TEXT_LIMIT))
     plain = plain.where(~F.contains(F.substring("content", 1, 8192), F.lit(bytearray(b"\x00"))))
     text = F.expr("regexp_replace(make_valid_utf8(cast(content as string)), '\\\\r\\\\n?', '\\n')")
     return plain.select("path", F.lit("").alias("where"), text.alias("text"))
 
 
-def container_parts(df: DataFrame) -> DataFrame:
-    """``(path, where, text, reason)`` of containers and opaque files; a row with a reason is an unscanned file."""
+def container_parts(df: DataFrame, ocr: bool = False) -> DataFrame:
+    """``(path, where, text, reason)`` of containers and opaque files; a row with a reason is an unscanned file.
+
+    Oversized files are told without reading them.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                parts, why = extract(path, bytes(content))
+                parts, why = extract(path, bytes(content), ocr)
                 rows = [(path, where, text, None) for where, text in parts] + ([(path, "", None, why)] if why else [])
                 yield pd.DataFrame(rows, columns=["path", "where", "text", "reason"])
 
-    wanted = df.where(_suffix().isin(*sorted(ZIPPED | OPAQUE | {".pdf"})) | F.col("path").rlike("/~[$][^/]*$"))
-    large = df.where(~_suffix().isin(*sorted(ZIPPED | OPAQUE | IMAGES | BINARY | {".pdf"})) & (F.col("length") > TEXT_LIMIT))
-    told = large.select("path", F.lit("").alias("where"), F.lit(None).cast("string").alias("text"), F.lit("text file too large").alias("reason"))
-    return wanted.select("path", "content").mapInPandas(read, "path string, where string, text string, reason string").unionByName(told)
+    held = suffix().isin(*CONTAINERS, *(fixed.IMAGES if ocr else ())) | F.col("path").rlike("/~[$][^/]*$")
+    small = df.where(held & (F.col("length") <= CONTAINER_LIMIT)).select("path", "content").mapInPandas(read, PARTS)
+    plain = ~held & ~suffix().isin(*fixed.IMAGES, *fixed.BINARY) & (F.col("length") > TEXT_LIMIT)
+    reason = F.when(held & (F.col("length") > CONTAINER_LIMIT), f"larger than {CONTAINER_LIMIT >> 20} MB").when(plain, f"text larger than {TEXT_LIMIT >> 20} MB")
+    large = df.select("path", F.lit("").alias("where"), F.lit(None).cast("string").alias("text"), reason.alias("reason")).where("reason is not null")
+    return small.unionByName(large)
+
+
+def images(df: DataFrame) -> DataFrame:
+    """Paths of images, which only OCR reads."""
+    return df.where(suffix().isin(*fixed.IMAGES)).select("path")
 
 
 def document_authors(parts: DataFrame) -> DataFrame:
     """Findings of persons in author and property segments."""
-    at = F.col("where").rlike("\\[(?:authors|properties|annotations)\\]$|^metadata$")
-    lines = parts.where(at).select("path", "where", F.posexplode(F.split("text", "\n")).alias("k", "t"))
-    key, value = F.lower(F.regexp_extract("t", "^([^:]+): (.+)$", 1)), F.regexp_extract("t", "^([^:]+): (.+)$", 2)
-    good = lines.where(key.isin(*PERSON_KEYS) & (value != "") & ~value.rlike(_GENERIC.pattern))
-    start = F.length("t") - F.length(value)
-    return good.select("path", "where", (F.col("k") + 1).alias("line"), start.alias("start"), F.length("t").alias("end"), F.lit("pii").alias("category"), F.lit("document-author").alias("rule"), value.alias("value"), F.lit("builtin").alias("engine"))
+    at = F.col("where").rlike("\\[(?:authors|properties|annotations)\\]$") | (F.col("where") == "metadata")
+    lines = parts.where(at & F.col("text").isNotNull()).select("path", "where", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    key, value = F.regexp_extract("t", "^(.*?): (.*)$", 1), F.trim(F.regexp_extract("t", "^(.*?): (.*)$", 2))
+    good = lines.where(key.isin(*fixed.PERSON_KEYS) & (value != "") & ~F.lower(value).isin(*fixed.GENERIC_AUTHORS))
+    start = F.length(key) + 2
+    return good.select(
+        "path", "where", (F.col("k") + 1).alias("line"), start.alias("start"), (start + F.length(value)).alias("end"),
+        F.lit("pii").alias("category"), F.lit("document-author").alias("rule"), value.alias("value"), F.lit("builtin").alias("engine"),
+    )

@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 import subprocess
 from collections.abc import Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.plans import fixed
+from siftwell.sources.files import CONTAINERS, PARTS, suffix
+from siftwell.sources.office import extract
+
 ADDED = "commit string, path string, line int, line_text string, binary boolean"
 _HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
@@ -41,12 +46,17 @@ def added(diff: str, commit: str) -> Iterator[tuple[str, str, int, str, bool]]:
             yield commit, m[1], 0, "", True
 
 
+def _commits(spark: SparkSession, repo: str, rev: str | None, tasks: int) -> DataFrame:
+    """The commits of ``rev`` (several words: as git takes them), dealt to tasks."""
+    commits = git(repo, "rev-list", *(rev.split() if rev else ["--all"])).decode().split()
+    return spark.createDataFrame([(c,) for c in commits], "commit string").repartition(max(1, min(tasks, len(commits))))
+
+
 def added_lines(spark: SparkSession, repo: str, rev: str | None = None, tasks: int = 8) -> DataFrame:
     """``(commit, path, line, line_text, binary)`` of ``rev`` or of all commits.
 
     The driver lists commit numbers; tasks read their diffs (the repository must be on a shared folder).
     """
-    commits = git(repo, "rev-list", *([rev] if rev else ["--all"])).decode().split()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -54,10 +64,31 @@ def added_lines(spark: SparkSession, repo: str, rev: str | None = None, tasks: i
                 diff = git(repo, "show", "--format=", "-p", "--unified=0", "--no-renames", "--no-ext-diff", "-m", "--first-parent", commit)
                 yield pd.DataFrame(list(added(diff.decode("utf-8", "replace"), commit)), columns=["commit", "path", "line", "line_text", "binary"])
 
-    listed = spark.createDataFrame([(c,) for c in commits], "commit string").repartition(max(1, min(tasks, len(commits))))
-    return listed.mapInPandas(read, ADDED)
+    return _commits(spark, repo, rev, tasks).mapInPandas(read, ADDED)
+
+
+def document_parts(spark: SparkSession, repo: str, rev: str | None = None, tasks: int = 8, ocr: bool = False) -> DataFrame:
+    """``(path, where, text, reason)`` of documents that commits added or changed, read by their suffix."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for commit in frame["commit"]:
+                names = git(repo, "show", "--format=", "--name-only", "-z", "--no-renames", "--diff-filter=d", "-m", "--first-parent", commit).decode("utf-8", "replace")
+                rows = []
+                for path in filter(_is_document(ocr), names.strip("\n").split("\0")):
+                    parts, why = extract(path, git(repo, "show", f"{commit}:{path}"), ocr)
+                    rows += [(path, f"commit {commit[:10]} {where}", text, None) for where, text in parts] + ([(path, f"commit {commit[:10]}", None, why)] if why else [])
+                yield pd.DataFrame(rows, columns=["path", "where", "text", "reason"])
+
+    return _commits(spark, repo, rev, tasks).mapInPandas(read, PARTS)
+
+
+def _is_document(ocr: bool):
+    kinds = (*CONTAINERS, *(fixed.IMAGES if ocr else ()))
+    return lambda path: PurePosixPath(path).suffix.lower() in kinds
 
 
 def history_segments(df: DataFrame) -> DataFrame:
-    """Added text lines with ``where`` telling the commit, ready for a line scan."""
-    return df.where("not binary").select("path", F.concat(F.lit("commit "), F.substring("commit", 1, 10)).alias("where"), "line", "line_text")
+    """Added lines of what is no document, with ``where`` telling the commit, ready for a line scan."""
+    text = df.where(~F.col("binary") & ~suffix().isin(*CONTAINERS, *fixed.IMAGES))
+    return text.select("path", F.concat(F.lit("commit "), F.substring("commit", 1, 10)).alias("where"), "line", "line_text")
