@@ -127,7 +127,7 @@ def choose(rows: list[np.ndarray], grades: np.ndarray, penalties: tuple[float, .
     learnt, judged = [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
 
     def likelihood(l1: float) -> float:
-        model = fit(learnt, grades[~held], l1=l1)
+        model = fit(learnt, grades[~held], steps=100, l1=l1)
         p = model.probabilities(np.array([float(model.weights[r].sum()) for r in judged]))
         return float(np.log(np.maximum(p[np.arange(len(judged)), grades[held]], 1e-9)).mean())
 
