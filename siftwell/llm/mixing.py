@@ -141,6 +141,20 @@ def mixture(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int]
     return out.select("_row.*", F.col("_domain").alias("mix_domain"), "mix_epoch", F.col("_tokens").alias("n_tokens"), take.alias("take_tokens"))
 
 
+def prefix(mixed: DataFrame) -> DataFrame:
+    """A mixture with texts (and their ``n_chars``) cut to the tokens taken of them.
+
+    A cut text ends with its last taken word; white space before it stays as it is.
+    """
+    partial = F.col("take_tokens") < F.col("n_tokens")
+    # each piece ends with a word; white space goes with the word behind it
+    pieces = F.split("text", f"(?<=[^{SPACE}])(?=[{SPACE}])")
+    out = mixed.withColumn("text", F.when(partial, F.array_join(F.slice(pieces, F.lit(1), F.col("take_tokens").cast("int")), "")).otherwise(F.col("text")))
+    if "n_chars" in mixed.columns:
+        out = out.withColumn("n_chars", F.when(partial, F.length("text").cast(mixed.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out
+
+
 def oracle(domains: tuple[str, ...], weights: dict[tuple[str, ...], int], share: float, epochs: int, seed: int) -> str:
     """The mixture of ``documents`` as DuckDB SQL (doc_id unique)."""
 

@@ -28,11 +28,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows by target weights, as often as the epochs of their leaf ask for."""
-    from siftwell.llm.mixing import mixture
+    """Rows by target weights, as often as the epochs of their leaf ask for.
+
+    The row in which a leaf's budget ends keeps the prefix that the budget holds.
+    """
+    from siftwell.llm.mixing import mixture, prefix
     from siftwell.llm.queries import mixing_plan
 
-    return mixture(docs, **mixing_plan()).select(*docs.columns)
+    return prefix(mixture(docs, **mixing_plan())).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

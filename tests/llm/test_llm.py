@@ -311,6 +311,35 @@ def test_mixture_meets_budgets(docs, none):
     assert sum(r.take_tokens for r in all_rows) == 2 * total
 
 
+def test_mixing_stage_meets_the_budget_of_each_leaf(spark, docs):
+    from siftwell.llm import stages
+
+    plan = queries.mixing_plan()
+    smallest = spark.read.parquet(f"{SF}/documents.parquet")
+    for table in (docs, smallest):
+        named = table.select(*[c.alias(n) for c, n in ((plan["domain"], "domain"), (mixing.F.coalesce("lang", mixing.F.lit(mixing.NONE)), "lang"), (mixing.F.coalesce("source", mixing.F.lit(mixing.NONE)), "source"))], mixing.token_count().alias("n"))
+        leaves = named.groupBy("domain", "lang", "source").agg(mixing.F.sum("n").alias("tokens"))
+        budgets = {(r.lang, r.source): r.budget for r in mixing.budgets(leaves, plan["weights"], plan["share"], None, plan["epochs"]).collect()}
+        out = stages.source_mixing(spark, table, str(SF))
+        assert out.columns == table.columns and out.dtypes == table.dtypes
+        taken, cut = collections.Counter(), 0
+        texts = collections.defaultdict(set)
+        for r in table.collect():
+            texts[r.doc_id].add(r.text)
+        for r in out.collect():
+            taken[r.lang or mixing.NONE, r.source or mixing.NONE] += len(_words(r.text))
+            if r.text not in texts[r.doc_id]:
+                cut += 1
+                assert any((t or "").startswith(r.text) for t in texts[r.doc_id]) and r.n_chars == len(r.text)
+        assert cut and {k: n for k, n in taken.items() if n} == {k: b for k, b in budgets.items() if b}
+
+
+def test_prefix_keeps_white_space(spark):
+    rows = [(1, "  a\x0bb \n\n c d ", 4, 2, 17), (2, "a b", 2, 2, 3), (3, "a\x85b\u3000c d", 2, 1, 7), (4, None, 0, 0, 0), (5, "x " * 20000, 20000, 15000, 40000)]
+    got = {r.id: (r.text, r.n_chars) for r in mixing.prefix(spark.createDataFrame(rows, "id int, text string, n_tokens long, take_tokens long, n_chars int")).collect()}
+    assert got == {1: ("  a\x0bb", 5), 2: ("a b", 3), 3: ("a\x85b\u3000c", 5), 4: (None, 0), 5: ("x " * 14999 + "x", 29999)}
+
+
 def test_water_filling_is_exact(spark):
     rng = random.Random(2)
     for _ in range(3):
