@@ -423,6 +423,27 @@ def test_licences(spark, docs, none):
     assert licences.scan(spark, docs).count() == len(ROWS) and licences.scan(spark, none).count() == 0
 
 
+def test_licences_as_published(spark):
+    bsd = licences._BSD + licences._BSD_3 + licences._BSD_END
+    files = {f.stem: f.read_text("utf-8") for f in licences.TEXTS.glob("*.txt")}
+    rows = [
+        ("BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"),
+        (re.sub(r"(?m)^[0-9][.]", "*", bsd).replace("the name of the copyright holder", "the name of Some Company, Inc."), "BSD-3-Clause"),
+        ("BSD 2-Clause License\n" + licences.LICENCES["BSD-2-Clause"], "BSD-2-Clause"),
+        ("ISC License\n\nCopyright (c) 2020 Someone\n\n" + licences.LICENCES["ISC"], "ISC"),
+        ("The MIT License (MIT)\n" + licences._MIT, "MIT"),
+        (files["Apache-2.0"][: files["Apache-2.0"].index("APPENDIX:")], "Apache-2.0"),
+        *((text, name.split("~")[0]) for name, text in files.items()),
+        (bsd.replace("must retain", "need not retain"), None),
+        (files["GPL-2.0"].replace("warranty", "guarantee"), None),
+        ("All rights reserved.", None),
+    ]
+    got = {r.doc_id: r.licence for r in licences.scan(spark, spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for _, name in rows]
+    line = spark.createDataFrame([(1, "x\n# SPDX-License-Identifier: GPL-2.0-only\ny")], "doc_id long, text string")
+    assert licences.scan(spark, line).first().notices == "notice:spdx-GPL-2.0-only"
+
+
 # --- op7 -------------------------------------------------------------------
 
 
