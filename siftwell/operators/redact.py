@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,15 +51,27 @@ def redact(segments: DataFrame, config: Config = Config(), text: str = "text") -
     # A line end is cut off behind its line: split in front of nothing, after an end.
     cut = F.split(F.coalesce(F.col(text), F.lit("")), f"(?<=\\r\\n)|(?<=[\\n\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029])|(?<=\\r)(?!\\n)")
 
-    def one(raw: Column) -> Column:
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    # Each step binds what the next one names many times.
+    def parted(raw: Column) -> Column:
         line = F.regexp_replace(raw, f"(?:{LINE_END})$", "")
-        end = F.substring(raw, F.length(line) + 1, F.lit(2))
-        spans = settle(all_spans(line, active, config.allow))
-        spans = F.when(line.contains(ALLOW_MARK), F.array().cast(f"array<{_SPAN}>")).otherwise(spans)
-        return F.struct(F.concat(replace_spans(line, spans), end).alias("text"), F.size(spans).alias("n"))
+        return F.struct(line.alias("line"), F.substring(raw, F.length(line) + 1, F.lit(2)).alias("end"))
+
+    def found(x: Column) -> Column:
+        line = x["line"]
+        closed = line.contains(ALLOW_MARK)
+        if all(r.gate for r in active):
+            closed |= ~reduce(lambda a, b: a | b, (line.rlike(g) for g in sorted({r.gate for r in active})))
+        spans = F.when(closed, none).otherwise(settle(all_spans(line, active, config.allow)))
+        return F.struct(line.alias("line"), x["end"].alias("end"), spans.alias("spans"))
+
+    def replaced(x: Column) -> Column:
+        return F.struct(F.concat(replace_spans(x["line"], x["spans"]), x["end"]).alias("text"), F.size(x["spans"]).alias("n"))
 
+    lines = F.transform(F.transform(F.transform(cut, parted), found), replaced) if active else F.transform(cut, lambda x: F.struct(x.alias("text"), F.lit(0).alias("n")))
     rest = [c for c in segments.columns if c != text]
-    done = segments.withColumn("_lines", F.transform(cut, one) if active else F.transform(cut, lambda x: F.struct(x.alias("text"), F.lit(0).alias("n"))))
+    done = segments.withColumn("_lines", lines)
     new = F.when(F.col(text).isNotNull(), F.array_join(F.col("_lines.text"), ""))
     return done.select(*[F.col(f"`{c}`") for c in rest], new.alias(text), F.aggregate(F.col("_lines.n"), F.lit(0), lambda a, b: a + b).alias("n_redacted"))
 

@@ -1,5 +1,6 @@
 """Rules, redaction, files, history and the command line."""
 
+import hashlib
 import json
 import os
 import random
@@ -14,7 +15,7 @@ from siftwell.engine import Engine
 from siftwell.model import ALLOW_MARK, CONFIG_NAME, Config, load_config
 from siftwell.operators.redact import UnsafeRedaction, redact
 from siftwell.operators.scan import scan
-from siftwell.plans import cases
+from siftwell.plans import cases, queries
 from siftwell.sources import engines, rewrite
 from siftwell.sources.secrets import read_values
 
@@ -73,6 +74,19 @@ def test_redaction_keeps_line_ends_and_is_clean(spark):
     assert scan(redact(df, config).where("id < 3").select("text"), config).count() == 0
 
 
+def test_redacted_documents_hold_no_secret(spark, tmp_path):
+    secret, key = token(40, _HEX), f"ghp_{token(36)}"
+    texts = [f'one\ntoken = "{secret}"\nlast', f"mail ada@lab-mail.kr {key}", "nothing", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    rows.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).write.parquet(str(tmp_path / "pages.parquet"))
+    want = ['one\ntoken = "[REDACTED:credential-assignment]"\nlast', "mail [PII:email] [REDACTED:github-token]", "nothing"]
+    got = {r.doc_id: (r.text_md5, r.n_redacted) for r in queries.redacted_documents(spark, str(tmp_path)).collect()}
+    assert got == {k: (hashlib.md5(t.encode()).hexdigest(), n) for k, (t, n) in enumerate(zip(want, (1, 2, 0), strict=True))} | {3: (None, 0)}
+    assert queries.redacted_is_clean(spark, str(tmp_path)).first().n_left == 0
+    assert {(r.page_id, r.rule) for r in queries.page_findings(spark, str(tmp_path)).collect()} == {(0, "credential-assignment"), (1, "email"), (1, "github-token")}
+
+
 def test_rewriting_files(tmp_path):
     p = tmp_path / "t.jsonl"
     p.write_bytes(b'{"a": "x@y.kr"}\r\n{"b": 1}\r\n')
