@@ -145,8 +145,8 @@ SECRET = (
     Rule("secret", "bearer-header", "[-.0-9=A-Z_a-z~+/]{20,}", lead="(?i:authorization)[\"']?\\s*[:=]\\s*[\"']?(?i:bearer)\\s+", gate="(?i)bearer", opaque=True, flags="-U"),
     Rule("secret", "curl-basic-auth", "[^\\s:\"']{4,}", lead="curl [^\\n]{0,200}?(?:-u|--user) [\"']?[^\\s:\"']+:", gate="curl", opaque=True, flags="-U"),
     Rule("secret", "url-embedded-password", "[^\\s/@:\"'<>]{3,}", lead="[a-z][-+.0-9a-z]{1,20}://[^\\s/:@\"']{1,80}:", right="@(?!localhost|127[.])[-.0-9A-Za-z]+", gate="://", opaque=True, flags="-U"),
-    Rule("secret", "credential-assignment", "[^\\s\"'`,;]{8,200}", lead=f"(?i:(?<![A-Za-z])(?:[a-z0-9]{{1,20}}[-_.]){{0,4}}(?:{_KEYS}))[\"'`]?\\s{{0,4}}(?:=>|:=|[:=])\\s{{0,4}}[\"'`]?", tail="[\"'`]?", gate=f"(?i){_KEYS}", check=checks.assigned, opaque=True, flags="-U"),
-    Rule("secret", "credential-assignment", "[^\\s\"'`,;]{16,200}", lead="(?<![A-Z])(?:[A-Z0-9]{1,20}_){1,4}KEY\\s{0,4}[:=]\\s{0,4}[\"'`]?", tail="[\"'`]?", gate="_KEY", check=checks.assigned, opaque=True, flags="-U"),
+    Rule("secret", "credential-assignment", "[^\\s\"'`,;]{8,}+", lead=f"(?i:(?<![A-Za-z])(?:[a-z0-9]{{1,20}}[-_.]){{0,4}}(?:{_KEYS}))[\"'`]?\\s{{0,4}}(?:=>|:=|[:=])\\s{{0,4}}[\"'`]?", tail="[\"'`]?", gate=f"(?i){_KEYS}", check=checks.assigned, opaque=True, flags="-U"),
+    Rule("secret", "credential-assignment", "[^\\s\"'`,;]{16,}+", lead="(?<![A-Z])(?:[A-Z0-9]{1,20}_){1,4}KEY\\s{0,4}[:=]\\s{0,4}[\"'`]?", tail="[\"'`]?", gate="_KEY", check=checks.assigned, opaque=True, flags="-U"),
     Rule("secret", "messenger-password", "[!-~]{8,20}", lead="(?:비번|비밀번호)[은는]?\\s+", right="\\s*(?:로|으로|이에요|입니다|예요)", gate="비번|비밀번호", check=checks.assigned, opaque=True, flags="-U"),
 )
 

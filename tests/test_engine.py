@@ -87,6 +87,13 @@ def test_redacted_documents_hold_no_secret(spark, tmp_path):
     assert {(r.page_id, r.rule) for r in queries.page_findings(spark, str(tmp_path)).collect()} == {(0, "credential-assignment"), (1, "email"), (1, "github-token")}
 
 
+def test_long_credentials_go_whole(spark):
+    lines = [f'password = "{token(1000)}"', f"APP_SIGNING_KEY={token(1000)} end"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
+    out = {r.id: r.text for r in redact(df, Config(only_rules=("credential-assignment",))).collect()}
+    assert out == {0: 'password = "[REDACTED:credential-assignment]"', 1: "APP_SIGNING_KEY=[REDACTED:credential-assignment] end"}
+
+
 def test_rewriting_files(tmp_path):
     p = tmp_path / "t.jsonl"
     p.write_bytes(b'{"a": "x@y.kr"}\r\n{"b": 1}\r\n')
