@@ -15,8 +15,6 @@ from siftwell.plans import cases
 from siftwell.sources import files
 from siftwell.streaming.scan import finished
 
-#: What the tables can hold besides nothing: see the tests for that claim.
-PRESENT = Config(only_rules=("email", "payment-card", "credential-assignment", "private-ipv4"))
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,14 +22,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _found(spark: SparkSession, sf_dir: str, config: Config = PRESENT) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str, config: Config = Config()) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
     return scan(docs, config)
 
 
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all documents."""
-    return report.summary(_found(spark, sf_dir, Config()))
+    return report.summary(_found(spark, sf_dir))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +104,7 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same findings from a stream of the documents table."""
     schema = _documents(spark, sf_dir).schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    return report.summary(finished(report.published(scan(docs.select("doc_id", "text"), PRESENT))))
+    return report.summary(finished(report.published(scan(docs.select("doc_id", "text"), Config()))))
 
 
 def _cases(table: list[cases.Case], config: Config) -> Query:

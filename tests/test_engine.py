@@ -87,6 +87,15 @@ def test_redacted_documents_hold_no_secret(spark, tmp_path):
     assert {(r.page_id, r.rule) for r in queries.page_findings(spark, str(tmp_path)).collect()} == {(0, "credential-assignment"), (1, "email"), (1, "github-token")}
 
 
+def test_queries_run_all_rules(spark, tmp_path):
+    texts = [f"AKIA{token(16, string.ascii_uppercase + '234567').upper()}", "-----BEGIN PRIVATE KEY-----", "연락처 010-2345-6789", "/home/adalove/x", "nothing"]
+    spark.createDataFrame([(k, t, "ko", f"src{k}") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(0, "aws-access-key-id"), (1, "private-key-block"), (2, "kr-mobile"), (3, "posix-home-path")}
+    assert {(r.doc_id, r.rule) for r in queries.findings(spark, str(tmp_path)).collect()} == want
+    assert {r.rule for r in queries.stream_findings(spark, str(tmp_path)).collect()} == {rule for _, rule in want}
+    assert [tuple(r) for r in queries.clean_documents(spark, str(tmp_path)).collect()] == [("src4", 1)]
+
+
 def test_long_credentials_go_whole(spark):
     lines = [f'password = "{token(1000)}"', f"APP_SIGNING_KEY={token(1000)} end"]
     df = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
