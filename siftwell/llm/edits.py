@@ -5,7 +5,8 @@ characters. A tree over the leaves keeps, for every node, the characters and the
 tokens below it. No pre-token reaches across such a cut, so an edit only changes the
 leaves it touches and the one its neighbouring character lies in: their text is
 joined, edited and encoded again, and the sums above are updated. The rest of the
-text is never read.
+text is never read. Kept trees hold the leaves' bounds, so later edits start from
+them and encode no more than that either.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import prepare
-from siftwell.llm.tokens import ChunkEncoder
+from siftwell.llm.tokens import ChunkEncoder, together
 
 LEAF = 256
 _CUT = re.compile(r"[ \n]+")
@@ -50,6 +51,22 @@ class Tree:
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
         self.encoded = 0
 
+    @classmethod
+    def restore(cls, text: str, chars: bytes, tokens: bytes, n_leaves: int) -> Tree:
+        """The tree that these sums were kept of; nothing is encoded."""
+        size, ends, at = len(chars) // 16, [], 0
+        for n in np.frombuffer(chars, "<i8")[size : size + n_leaves].tolist():
+            at += n
+            ends.append(at)
+        if at != len(text):
+            raise ValueError("the kept sums are not those of the text")
+        parts = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return cls(parts, np.frombuffer(tokens, "<i8")[size : size + n_leaves].tolist())
+
+    def sums(self) -> tuple[bytes, bytes, str]:
+        """What :meth:`restore` needs: token sums, character sums, text."""
+        return np.array(self.tokens, "<i8").tobytes(), np.array(self.chars, "<i8").tobytes(), self.text()
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -101,8 +118,7 @@ class Tree:
 
 def _trees(texts: list[str], encoder: ChunkEncoder) -> list[Tree]:
     cut = [leaves(t) for t in texts]
-    _, ids = encoder.pieces([p for parts in cut for p in parts])
-    counts, at, out = [sum(map(len, i)) // 4 for i in ids], 0, []
+    counts, at, out = encoder.counts(pa.array([p for parts in cut for p in parts], pa.string())).tolist(), 0, []
     for parts in cut:
         out.append(Tree(parts, counts[at : at + len(parts)]))
         at += len(parts)
@@ -113,27 +129,42 @@ EDITS = "array<struct<start:long,length:long,insert:string>>"
 COUNTED = "doc_id long, n_tokens long, n_leaves long, edited_chars long, edited_tokens long, reencoded_chars long"
 
 
+KEPT = "token_tree binary, char_tree binary, edited_text string"
+
+
+def _edit(tree: Tree, edits: list | None, encoder: ChunkEncoder, keep: bool) -> tuple:
+    """A row of COUNTED (and KEPT) behind its doc_id."""
+    before, n = tree.total, len(tree.parts)
+    for e in edits or ():
+        if e is not None:
+            tree.replace(e["start"] or 0, e["length"] or 0, e["insert"] or "", encoder.count)
+    return before, n, tree.length, tree.total, tree.encoded, *(tree.sums() if keep else ())
+
+
+def _batch(rows: list[tuple], keep: bool) -> pa.RecordBatch:
+    names = [x.split()[0] for x in (COUNTED + f", {KEPT}" * keep).split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.binary(), pa.binary(), pa.string()] * keep
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def _count(tokenizer: str, keep: bool):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer)
+        for batch in together(batches):
+            docs, edits = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            trees = _trees([t or "" for t in batch.column(1).to_pylist()], encoder)
+            yield _batch([(d, *_edit(t, e, encoder, keep)) for d, t, e in zip(docs, trees, edits, strict=True)], keep)
 
-        def count(text: str) -> int:
-            return sum(map(len, encoder.pieces([text])[1][0])) // 4
+    return counted
 
+
+def _count_again(tokenizer: str):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for doc, tree, edits in zip(batch.column(0).to_pylist(), _trees(texts, encoder), batch.column(2).to_pylist(), strict=True):
-                before, n = tree.total, len(tree.parts)
-                for e in edits or ():
-                    if e is not None:
-                        tree.replace(e["start"] or 0, e["length"] or 0, e["insert"] or "", count)
-                sums = (np.array(tree.tokens, "<i8").tobytes(), np.array(tree.chars, "<i8").tobytes(), tree.text()) if keep else ()
-                rows.append((doc, before, n, tree.length, tree.total, tree.encoded, *sums))
-            names = [x.split()[0] for x in COUNTED.split(", ")] + ["token_tree", "char_tree", "edited_text"] * keep
-            kinds = [pa.int64()] * 6 + [pa.binary(), pa.binary(), pa.string()] * keep
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield _batch([(d, *_edit(Tree.restore(t or "", c, k, n), e, encoder, True)) for d, t, c, k, n, e in rows], True)
 
     return counted
 
@@ -144,12 +175,25 @@ def count_edits(docs: DataFrame, tokenizer: str, edits: str = "edits", keep: boo
     An edit ``(start, length, insert)`` counts in characters of the text as the ones
     before it left it; it is cut to the text's bounds, null fields are zero or empty,
     null edits and lists are none. Null texts are empty; repeated rows stay repeated;
-    other columns are ignored. ``keep`` adds the trees (64-bit sums, root at 1) and
-    the edited text.
+    other columns are ignored; no rows give no rows. ``keep`` adds the trees (64-bit
+    sums, root at 1) and the edited text, from which :func:`edit_again` goes on.
     """
     prepare(docs.sparkSession)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(edits).cast(EDITS).alias("edits"))
-    return raw.mapInArrow(_count(tokenizer, keep), COUNTED + ", token_tree binary, char_tree binary, edited_text string" * keep)
+    return raw.mapInArrow(_count(tokenizer, keep), COUNTED + f", {KEPT}" * keep)
+
+
+def edit_again(kept: DataFrame, tokenizer: str, edits: str = "edits") -> DataFrame:
+    """Further edits of ``kept``, rows of :func:`count_edits` or of this function with kept
+    trees and a column of new edits. Only the leaves that these touch are encoded.
+
+    ``n_tokens`` are the tokens before the new edits, ``reencoded_chars`` the characters
+    that they made be encoded. Edits are read as there; rows whose trees are not those
+    of their text are refused.
+    """
+    prepare(kept.sparkSession)
+    raw = kept.select("doc_id", "edited_text", "char_tree", "token_tree", "n_leaves", F.col(edits).cast(EDITS).alias("edits"))
+    return raw.mapInArrow(_count_again(tokenizer), f"{COUNTED}, {KEPT}")
 
 
 def sample_edits(text: str = "text", key: str = "doc_id") -> Column:

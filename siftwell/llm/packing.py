@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise, prepare, utf8
-from siftwell.llm.tokens import ChunkEncoder
+from siftwell.llm.tokens import ChunkEncoder, as_text, together
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -104,10 +104,10 @@ def _cut(tokenizer: str, capacity: int, separator: int, shards: int):
         encoder = ChunkEncoder(tokenizer)
         end, step = int(separator).to_bytes(4, "little"), 4 * capacity
         turn = (TaskContext.get().partitionId() * 7919) % shards
-        for batch in batches:
+        for batch in together(batches):
             cols: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, own in zip(batch.column(0).to_pylist(), encoder.encode(as_text(batch.column(1))), strict=True):
+                ids = bytes(own) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     turn = turn + 1 if turn + 1 < shards else 0

@@ -5,10 +5,13 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 pytest.importorskip("siftwell.llm")
@@ -99,8 +102,26 @@ def test_minimum_bin_slack_is_near_the_bound():
 def test_tokens_equal_the_tokenizer():
     encoder = tokens.ChunkEncoder(queries.word_tokenizer())
     texts = [t or "" for _, t, *_ in ROWS] + [f"ab{chr(c)}cd {chr(c)} 9{chr(c)}é" for c in range(0x2100) if not 0xD800 <= c < 0xE000]
-    for t, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
-        assert ids == encoder.whole(t), repr(t[:40])
+    texts += ["", " ", "a''s don't'll 'x ''", "a<b <|c <<", "x" * 300 + " y", "\u00a0a\u00a0b \x0b'S'S", "ÀÉ1²½ſ'ſ"]
+    arrays = tokens.as_text(pa.array([t.encode() for t in texts] + [None, b"\xffab"], pa.binary()))
+    counts = encoder.counts(arrays)
+    for k, (t, ids) in enumerate(zip([*texts, "", "\ufffdab"], encoder.encode(arrays), strict=True)):
+        assert ids == encoder.whole(t) and len(ids) == 4 * counts[k] == 4 * encoder.count(t), repr(t[:40])
+
+
+def test_letters_of_plain_texts_keep_their_form():
+    plain = [chr(c) for c in range(0x2100) if not tokens._ODD.search(chr(c))]
+    assert all(unicodedata.normalize("NFC", "a" + c) == "a" + c and len(c.lower()) == 1 for c in plain)
+    assert pc.utf8_lower(pa.array(plain)).to_pylist() == [c.lower() for c in plain]
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    encoder = tokens.ChunkEncoder(queries.word_tokenizer())
+    for k in range(20):
+        text = " ".join(f"w{chr(97 + i)}{chr(97 + k)} {'z' * 400}{k}" for i in range(20))
+        assert bytes(encoder.encode(pa.array([text]))[0]) == encoder.whole(text)
+        assert len(encoder.memo) < 150 and max(map(len, encoder.memo)) <= tokens.LONGEST
 
 
 # --- op2 -------------------------------------------------------------------
@@ -504,6 +525,24 @@ def test_edits_equal_a_full_recount(spark, docs, none):
     assert edits.count_edits(df.limit(0), queries.word_tokenizer()).count() == 0
 
 
+def test_later_edits_encode_touched_leaves_alone(spark):
+    rows = [(1, _LONG, [(100, 7, "first "), (90_000, 3, "")]), (2, None, None), (3, "a b", [(1, 0, " x\ny ")])]
+    more = {1: [(len(_LONG) // 2, 9, " don't "), (0, 0, "start")], 2: [(0, 0, "new text")], 3: [(0, 99, "")]}
+    first = edits.count_edits(spark.createDataFrame(rows, f"doc_id long, text string, edits {edits.EDITS}"), queries.word_tokenizer(), keep=True)
+    later = spark.createDataFrame(list(more.items()), f"doc_id long, edits {edits.EDITS}")
+    got = {r.doc_id: r for r in edits.edit_again(first.join(later, "doc_id"), queries.word_tokenizer()).collect()}
+    for r in first.collect():
+        text = r.edited_text
+        for at, n, new in more[r.doc_id]:
+            text = text[:at] + new + text[at + n :]
+        own = got[r.doc_id]
+        assert (own.n_tokens, own.edited_text, own.edited_tokens, own.edited_chars) == (r.edited_tokens, text, len(_ids(text)) - 1, len(text))
+    assert got[1].reencoded_chars < 2_000 and got[1].n_leaves > 100
+    with pytest.raises(ValueError):
+        edits.Tree.restore("other", *[np.array([0, 9], "<i8").tobytes()] * 2, 1)
+    assert edits.edit_again(first.join(later, "doc_id").limit(0), queries.word_tokenizer()).count() == 0
+
+
 # --- op9 -------------------------------------------------------------------
 
 URLS = [
