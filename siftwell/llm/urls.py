@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
 
+#: A mined rule needs so many labelled rows, or this share of them where that is more: a
+#: token of lesser support is in no rule, so FP-growth's list of frequent tokens, which
+#: Spark keeps on the driver, has at most a url's tokens times 100,000 entries.
+LEAST_ROWS, LEAST_SHARE = 20, 1e-5
 #: (verdict, host/path). A rule fits its host and subdomains if the path starts with its path.
 FIXED = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 BAD = "=block"
@@ -38,14 +42,14 @@ def fixed_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] =
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels and their hyphenated parts, path segments without
-    digits, names of query parameters."""
+    """Distinct tokens: host labels and path segments, the parts of both between hyphens or
+    underscores, and names of query parameters. Numbers in path segments count as 0."""
+    divided = lambda a: F.flatten(F.transform(F.filter(a, lambda x: x.rlike("[-_]")), lambda x: F.filter(F.split(x, "[-_]"), lambda y: y != "")))
     labels = F.filter(F.split(host, "[.]"), lambda x: x != "")
-    hyphened = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-")))
-    segments = F.filter(F.split(F.lower(path), "/"), lambda x: (x != "") & ~x.rlike("[0-9]"))
+    segments = F.filter(F.split(F.regexp_replace(F.lower(path), "[0-9]+", "0"), "/"), lambda x: x != "")
     query = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^[^?#]*[?]([^#]*)", 1), "&"), lambda x: x != "")
     named = lambda kind, a: F.transform(a, lambda x: F.concat(F.lit(kind), x))
-    return F.array_distinct(F.concat(named("h:", labels), named("w:", hyphened), named("p:", segments), named("q:", F.transform(query, lambda x: F.split(x, "=")[0]))))
+    return F.array_distinct(F.concat(named("h:", labels), named("w:", divided(labels)), named("p:", segments), named("s:", divided(segments)), named("q:", F.transform(query, lambda x: F.split(x, "=")[0]))))
 
 
 def mine(labelled: DataFrame, min_support: float, min_count: int, min_confidence: float) -> DataFrame:
@@ -72,7 +76,7 @@ def mine(labelled: DataFrame, min_support: float, min_count: int, min_confidence
     return materialise(rarest, "index")
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8, rules: tuple[tuple[str, str], ...] = FIXED) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, min_support: float = LEAST_SHARE, min_count: int = LEAST_ROWS, min_confidence: float = 0.8, rules: tuple[tuple[str, str], ...] = FIXED) -> DataFrame:
     """One row per row of ``pages(page_id, url, ...)``: host, path, fixed rule, verdict.
 
     ``labels(doc_id, quality, toxic)`` label pages of the same number: quality 0 or
