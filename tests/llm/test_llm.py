@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("siftwell.llm")
 
@@ -491,6 +493,97 @@ def test_language_model_learns_order(spark):
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
+def _word_model(rows):
+    """P(word | class, history) by dictionaries: a function of (words before, word), and all trained words by class."""
+    train = [toks for _, held, toks in rows if not held]
+    counts = collections.Counter(w for toks in train for w in toks)
+    n = sum(counts.values())
+    signed = {w: int(np.uint64(xxhash.xxh64_intdigest(w, 42)).astype(np.int64)) for w in counts}
+    heads = set(sorted((w for w in counts if counts[w] * maxent.FREQUENT >= n), key=lambda w: (-counts[w], signed[w]))[: maxent.HEAD])
+    cls = lambda w: w if w in heads else maxent.tail_class(w)
+    members = collections.defaultdict(set)
+    for w in counts:
+        if w not in heads:
+            members[cls(w)].add(w)
+    features = collections.Counter()
+    for toks in train:
+        for i, w in enumerate(toks):
+            if w not in heads:
+                for relation in (0, 1):
+                    features[relation, toks[i - 1 - relation] if i > relation else None, cls(w), w] += 1
+    behind = collections.defaultdict(lambda: [0, 0])
+    for (*context, _), c in features.items():
+        behind[tuple(context)][0] += c
+        behind[tuple(context)][1] += 1
+    once, twice = (sum(c == k for c in features.values()) for k in (1, 2))
+    d = min(max(once / max(1, once + 2 * twice), 0.1), 0.95)
+
+    def within(before, w):
+        if w in heads:
+            return 1.0
+        own = members[cls(w)]
+        p = (counts[w] + 0.1) / (sum(counts[x] for x in own) + 0.1 * (len(own) + 1))
+        for relation in (0, 1):
+            context = (relation, before[-1 - relation] if len(before) > relation else None, cls(w))
+            if context in behind:
+                m, t = behind[context]
+                return max(features[(*context, w)] - d, 0) / m + d * t / m * p
+        return p
+
+    return within, members
+
+
+def _tokens_of(rows):
+    return [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0, [*(t or "").encode().lower().split(), b"\n"]) for d, t, *_ in rows]
+
+
+def test_word_features_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    pool = [f"{rng.choice('abcdefgh')}{rng.choice('xyz')}{k % 37}{rng.choice(['', ',', '$', 'e'])}" for k in range(900)]
+    rows = [(k, " ".join(rng.choice(pool[: rng.choice([40, 300, 900])]) for _ in range(rng.randrange(120)))) for k in range(150)]
+    rows += [(k + 1000, t) for k, t in rows[:20]] + [(None, "x"), (5, None)]
+    told = _tokens_of(rows)
+    within, members = _word_model(told)
+    want = collections.Counter((d, held, round(sum(math.log10(within(toks[:i], w)) for i, w in enumerate(toks)), 6)) for d, held, toks in told)
+    monkeypatch.setattr(maxent, "PARTS", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = maxent.language_model(df, steps=2).collect()
+    assert collections.Counter((r.doc_id, r.held_out, round(r.score - r.class_score, 6)) for r in got) == want
+    # each history's distribution over a class, one unknown word of it included, sums to one
+    for _, _, toks in told[:40]:
+        for i in range(0, len(toks), 7):
+            before = toks[:i]
+            for c, own in [(c, own) for c, own in members.items() if c >= 24][:8]:
+                unknown = next(w for k in range(10**6) if maxent.tail_class(w := b"unk%d" % k) == c)
+                assert abs(sum(within(before, w) for w in own) + within(before, unknown) - 1) < 1e-9
+
+
+def test_word_weights_are_stationary():
+    """At the closed form the gradient, target less expectation, is zero for every feature of a history."""
+    d, p, c = 0.7, np.array([0.4, 0.3, 0.2, 0.1]), np.array([3, 0, 1, 0])
+    n, t = c.sum(), (c > 0).sum()
+    weights = np.log1p(np.maximum(c - d, 0) / (d * t * p))
+    z = (p * np.exp(weights)).sum()
+    assert abs(z - n / (d * t)) < 1e-12
+    expected = n * p * np.exp(weights) / z
+    assert np.abs(expected - (np.maximum(c - d, 0) + d * t * p)).max() < 1e-12
+
+
+def test_twice_seen_texts_score_apart(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(300)]
+    rows = list(enumerate(texts + texts[:30]))
+    got = {r.doc_id: r.score / r.n_tokens for r in maxent.language_model(spark.createDataFrame(rows, "doc_id long, text string"), steps=2).collect() if not r.held_out}
+    copies = [v for k, v in got.items() if k < 30 and k + 300 in got]
+    assert copies and min(copies) > np.quantile([v for k, v in got.items() if 30 <= k < 300], 0.95)
+
+
+def test_squeezed_columns_survive():
+    columns = np.array([1, 5, 2**63], np.uint64), np.array([-1, 0, 7], np.int32), np.array([0, 1, 255], np.uint8)
+    assert all((a == b).all() for a, b in zip(columns, maxent.expand(maxent.squeeze(*columns), "<u8", "<i4", "u1"), strict=True))
+    assert [len(x) for x in maxent.expand(maxent.squeeze(np.zeros(0, np.int64)), "<i8")] == [0]
+
+
 def test_histories_restart_with_each_text():
     classes, lengths = np.array([3, 4, 5, 6, 7]), np.array([3, 2])
     s, h = maxent.START, maxent.HISTORY
@@ -568,6 +661,21 @@ def test_urls(spark):
     assert urls.filter_urls(pages, labels.limit(0)).count() == len(rows)
 
 
+def test_url_tokens(spark):
+    url = "http://m.cheap-pills.com/bet365/Top10-pills_now/825/9.html?Ref=1&x&a=b#q=1"
+    row = spark.createDataFrame([(url,)], "url string").select(urls.tokens(F.col("url"), *urls.parts(F.col("url"))).alias("t")).first()
+    assert row.t == ["h:m", "h:cheap-pills", "h:com", "w:cheap", "w:pills", "p:bet0", "p:top0-pills_now", "p:0", "p:0.html", "s:top0", "s:pills", "s:now", "q:Ref", "q:x", "q:a"]
+
+
+def test_rare_bad_paths_are_mined_at_any_size(spark):
+    """A path seen on 30 bad pages of 20,000 gives a rule, though that is a share of 0.0015."""
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.when(F.col("id") < 30, F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/bet365/"), F.col("id"))).otherwise(F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/news/"), F.col("id"))).alias("url"))
+    pages = pages.union(spark.createDataFrame([(30_000, "http://new.com/bet365/1"), (30_001, "http://new.com/news/1")], "page_id long, url string"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") >= 30).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, labels).where("page_id < 60 or page_id >= 30000").collect()}
+    assert all(v == ("block" if k < 30 or k == 30_000 else "allow") for k, v in got.items())
+
+
 def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(6)
     data = [(sorted({rng.choice("abcdef") for _ in range(3)}), rng.random() < 0.3) for _ in range(300)]
