@@ -36,10 +36,23 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Spark deletes a query's shuffle files once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it."""
-    path = f"{shared_folder(df.sparkSession)}/siftwell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """Write ``df`` once to the shared folder and return a reader of it.
+
+    What is written needs its lineage no more, so the shuffle files behind it go at once;
+    disk holds those of one step, not of all.
+    """
+    path, conf = f"{shared_folder(df.sparkSession)}/siftwell/{label}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -54,7 +54,7 @@ PAIRED = 4096
 #: Share of the training tokens that a head word has at least, as one over this.
 FREQUENT = 20_000
 #: Text bytes of a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 ADD = 0.1
 #: Keys of a part of the hash space, about, and the number of parts at least.
 PART, PARTS = 4_000_000, 64
@@ -271,7 +271,8 @@ def _features(head: np.ndarray, bits: int):
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 t = Tokens(row, head)
                 held, both = t.held[t.at], [t.features(r, t.at) for r in (NGRAM, SKIP)]
                 rows = []
