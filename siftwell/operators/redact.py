@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,10 +11,11 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.spans import LINE_END, plain_building
 from siftwell.model import ALLOW_MARK, Config
-from siftwell.operators.scan import _SPAN, all_spans, settle
+from siftwell.operators.scan import _SPAN, all_spans, may_hold, settle
 from siftwell.plans.catalog import rules
 from siftwell.plans.fixed import INFRA_TAGS
 
+
 class UnsafeRedaction(RuntimeError):
     """A span no longer holds its value, or JSON would break."""
 
@@ -60,9 +60,7 @@ def redact(segments: DataFrame, config: Config = Config(), text: str = "text") -
 
     def found(x: Column) -> Column:
         line = x["line"]
-        closed = line.contains(ALLOW_MARK)
-        if all(r.gate for r in active):
-            closed |= ~reduce(lambda a, b: a | b, (line.rlike(g) for g in sorted({r.gate for r in active})))
+        closed = line.contains(ALLOW_MARK) | ~may_hold(line, active)
         spans = F.when(closed, none).otherwise(settle(all_spans(line, active, config.allow)))
         return F.struct(line.alias("line"), x["end"].alias("end"), spans.alias("spans"))
 

@@ -6,6 +6,7 @@ is unfolded last. Lines that no gate lets through are dropped before any pattern
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache, reduce
 
 from pyspark import SparkContext
@@ -21,6 +22,46 @@ _SPAN = "struct<priority:int,shorter:int,ord:int,start:int,end:int,category:stri
 _FOUND = _SPAN[:-1] + ",context:string>"
 
 
+_CHARS = "(?:[^\\\\\\[\\](){}|?*+.^$]|\\[[^\\]\\\\^-]\\])+"
+_LITERALS = re.compile(f"{_CHARS}(?:[|]{_CHARS})*")
+
+
+@lru_cache(maxsize=64)
+def _gateway(gates: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Literals and patterns, one of which is in every line that one of the gates lets through.
+
+    Searching a literal reads a line's bytes as they are; every pattern decodes the line
+    anew. So alternatives without a regular operator are searched as literals, those in
+    any case by one pattern, and all else by another; what contains another literal goes.
+    """
+    exact: set[str] = set()
+    loose: set[str] = set()
+    other: set[str] = set()
+    for gate in gates:
+        free = gate.startswith("(?i)")
+        body = gate[4:] if free else gate
+        if free:
+            loose.add(body)
+        elif _LITERALS.fullmatch(body):
+            exact |= {re.sub(r"\[(.)\]", r"\1", x) for x in body.split("|")}
+        else:
+            other.add(body)
+    exact = {x for x in exact if not any(y != x and y in x for y in exact)}
+    if "[0-9]" in other:
+        other = {x for x in other if x == "[0-9]" or not x.startswith("[0-9]")}
+        exact = {x for x in exact if not re.search("[0-9]", x)}
+    patterns = ["|".join(sorted(other))] * bool(other) + ["(?i)" + "|".join(sorted(loose))] * bool(loose)
+    return tuple(sorted(exact)), tuple(patterns)
+
+
+def may_hold(line: Column, active: list[Rule]) -> Column:
+    """False only for lines that no rule's gate lets through."""
+    if not all(r.gate for r in active):
+        return F.lit(True)
+    literals, patterns = _gateway(frozenset(r.gate for r in active))
+    return reduce(lambda a, b: a | b, [*(line.rlike(p) for p in patterns), *(line.contains(x) for x in literals)], F.lit(False))
+
+
 def explode_lines(segments: DataFrame, text: str = "text") -> DataFrame:
     """``segments`` with ``text`` replaced by ``line`` (from 1) and ``line_text``."""
     rest = [F.col(f"`{c}`") for c in segments.columns if c != text]
@@ -88,8 +129,7 @@ def scan_lines(df: DataFrame, config: Config = Config(), line: str = "line_text"
     if not active:
         return df.select(*rest, *[F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("end", "int"), ("category", "string"), ("rule", "string"), ("value", "string"))]).where("false")
     open_ = df.where(~text.contains(ALLOW_MARK))
-    if all(r.gate for r in active):
-        open_ = open_.where(reduce(lambda a, b: a | b, (text.rlike(g) for g in sorted({r.gate for r in active}))))
+    open_ = open_.where(may_hold(text, active))
     found = _spans_of(line, tuple(active), config.allow, id(SparkContext._gateway))
     met = open_.select(*rest, found.alias("_spans")).where(F.size("_spans") > 0)
     out = met.select(*rest, F.explode(settle(F.col("_spans"))).alias("_s"))

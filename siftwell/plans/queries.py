@@ -66,7 +66,7 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules' findings redacted. The SQL form redacts emails and cards alone."""
+    """All rules' findings redacted."""
     out = redact(_documents(spark, sf_dir).select("doc_id", "text"), Config())
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("n_redacted").cast("long").alias("n_redacted"))
 
@@ -214,7 +214,7 @@ def _expected(table: list[cases.Case]) -> str:
 _RESULT = """concat('{"ruleId":"', rule, '","level":"', CASE WHEN category = 'secret' THEN 'error' ELSE 'warning' END, '","message":{"text":"', category, ': ', rule, ' (', MASK, ')"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"documents/',
  doc_id, '"},"region":{"startLine":', line, ',"startColumn":', start + 1, ',"endColumn":', "end" + 1, '}}}]}')""".replace("MASK", _MASK)
 _OBJECT = """concat('{"category":"', category, '","rule":"', rule, '","line":', line, ',"start":', start, ',"end":', "end", ',"engine":"builtin","path":"documents/', doc_id, '","where":"","masked":"', MASK, '"}')""".replace("MASK", _MASK)
-_REDACTED = f"""WITH {_base("documents", "doc_id", "text")}, v AS (SELECT doc_id, list(struct_pack(value := value, tag := concat('[PII:', rule, ']')) ORDER BY length(value) DESC) vs, count(*) n FROM f WHERE category = 'pii' GROUP BY doc_id)
+_REDACTED = f"""WITH {_base("documents", "doc_id", "text")}, v AS (SELECT doc_id, list(struct_pack(value := value, tag := concat(CASE category WHEN 'secret' THEN '[REDACTED:' ELSE '[PII:' END, rule, ']')) ORDER BY length(value) DESC) vs, count(*) n FROM f GROUP BY doc_id)
 SELECT d.doc_id, md5(CASE WHEN n IS NULL THEN text ELSE list_reduce(list_prepend(text, list_transform(vs, lambda x: concat(x.value, chr(1), x.tag))), lambda a, b: replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2))) END) text_md5, coalesce(n, 0)::bigint n_redacted
 FROM documents d LEFT JOIN v USING (doc_id)"""
 
@@ -227,7 +227,7 @@ ORACLES: dict[str, str] = {
     "findings_totals": f"{_DOCS} SELECT category, rule, count(*) n_findings FROM f GROUP BY ROLLUP (category, rule)",
     "document_lines": "SELECT doc_id, len(string_split(text, chr(10)))::bigint n_lines, (length(text) - len(string_split(text, chr(10))) + 1)::bigint n_chars FROM documents",
     "clean_documents": f"{_DOCS} SELECT source, count(*) n_clean FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f) GROUP BY source",
-    "page_findings": f"""WITH {_base("pages", "page_id", "html")} SELECT page_id, line::int line, start, "end", rule, {_MASK} masked FROM f WHERE category = 'pii'""",
+    "page_findings": f"""WITH {_base("pages", "page_id", "html")} SELECT page_id, line::int line, start, "end", rule, {_MASK} masked FROM f""",
     "redacted_documents": _REDACTED,
     "redacted_is_clean": "SELECT 0::bigint n_left",
     "report_text": f"{_DOCS} SELECT concat({_PLACE}, '  ', rpad(category, 6, ' '), ' ', rpad(rule, 28, ' '), ' ', {_MASK}) report FROM f",

@@ -7,15 +7,18 @@ import random
 import string
 import subprocess
 import time
+from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell import cli
 from siftwell.engine import Engine
 from siftwell.model import ALLOW_MARK, CONFIG_NAME, Config, load_config
 from siftwell.operators.redact import UnsafeRedaction, redact
-from siftwell.operators.scan import scan
+from siftwell.operators.scan import _gateway, may_hold, scan
 from siftwell.plans import cases, queries
+from siftwell.plans.catalog import rules
 from siftwell.sources import engines, rewrite
 from siftwell.sources.secrets import read_values
 
@@ -204,3 +207,23 @@ def test_init_and_hook(tmp_path):
     hook.write_text("#!/bin/sh\n")
     assert cli.main(["hook", "install", str(tmp_path)]) == 2 and cli.main(["hook", "install", str(tmp_path), "--force"]) == 0
     assert cli.main(["hook", "install", str(tmp_path), "--remote", "a;b"]) == 2
+
+
+def test_gateway_lets_through_what_a_gate_does(spark):
+    active = rules(Config())
+    gates = sorted({r.gate for r in active})
+    lines = [lead + value + tail for table in (cases.PII, cases.INFRA, cases.SECRET) for _, _, lead, value, tail in table] + [c for c, _ in CAUGHT] + CLEAN
+    lines += ["", "PassWord", "SHAREPOINT", "x.lan", ".lanx", "7", "가", "gho_", "AccountKey", "accountkey", "a.b_c-d1.", "SGx", "SG.", "sk", "sk-", "비번"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    wrong = df.where(reduce(lambda a, b: a | b, (F.col("line").rlike(g) for g in gates)) != may_hold(F.col("line"), active))
+    assert wrong.count() == 0
+    literals, patterns = _gateway(frozenset(["[0-9]", "[0-9]{4}", "a[.]b", "a[.]bc|x1", "(?i)k", "a+", "a[bc]"]))
+    assert literals == ("a.b",) and patterns == ("[0-9]|a+|a[bc]", "(?i)k")
+
+
+def test_credentials_are_redacted_and_scanned_again(spark):
+    secret = token(40, _HEX)
+    df = spark.createDataFrame([(1, f'a\ntoken = "{secret}"\nmail ada@lab-mail.kr'), (2, "plain")], "doc_id int, text string")
+    out = {r.doc_id: r for r in redact(df, Config()).collect()}
+    assert secret not in out[1].text and "[REDACTED:credential-assignment]" in out[1].text and "[PII:email]" in out[1].text and out[1].n_redacted == 2
+    assert out[2].text == "plain" and scan(redact(df, Config()), Config()).count() == 0
