@@ -220,8 +220,12 @@ def classes(signed: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 65536)  # rows of 16 bytes
     roots = components(links(prints.select("fp")))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return materialise(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "classes")
+    rooted = materialise(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "rooted")
+    alone = rooted.where("root is null").select("fp", F.col("least").alias("component_id"))
+    linked = rooted.where("root is not null")
+    # Written, so that a class with a third of all fingerprints is split in the join.
+    lowest = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    return materialise(alone.unionByName(linked.join(lowest, "root").select("fp", "component_id")), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
