@@ -66,8 +66,9 @@ NGRAM, SKIP = 0, 1
 SYMBOLS = b"#$%&*|<>"
 #: The end of a text: the only token with white space, so no word's hash stands for it by rule.
 END = xxhash.xxh64_intdigest(b"\n", 42)
-#: The counts of histories are dealt to so many gradient tasks; each returns 3.4 MB.
-GRADIENT_TASKS = 4
+#: The counts of histories are dealt to so many gradient tasks; each returns 3.4 MB. It
+#: goes through so many histories at a time.
+GRADIENT_TASKS, TOGETHER = 4, 4096
 
 BLOCKS = "block long, ids array<long>, held binary, lengths binary, vocabulary binary, seen binary, tail binary, codes binary, tokens long, train long, words long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, class_score double"
@@ -411,13 +412,19 @@ def _expect(weights: Weights | None):
             return
         t = pa.Table.from_batches(tables)
         history, at = np.unique(t["history"].to_numpy(), return_inverse=True)
-        counted = np.bincount(at * CLASSES + t["class"].to_numpy(), t["n"].to_numpy(), len(history) * CLASSES).reshape(-1, CLASSES)
-        loss, values = 0.0, counted
-        if weights:
-            logs = weights.log_probabilities(history)
-            loss = -float((counted * logs).sum())
-            values = counted.sum(axis=1, keepdims=True) * np.exp(logs)
-        sums = [values.sum(axis=0).astype(np.float32), *_by_feature(history, values.astype(np.float32))]
+        order = np.argsort(at, kind="stable")
+        at, of, n = at[order], t["class"].to_numpy()[order], t["n"].to_numpy()[order]
+        loss, sums = 0.0, [np.zeros_like(x) for x in vars(Weights.zero()).values()]
+        for first in range(0, len(history), TOGETHER):
+            own = history[first : first + TOGETHER]
+            i, j = np.searchsorted(at, [first, first + len(own)])
+            values = np.bincount((at[i:j] - first) * CLASSES + of[i:j], n[i:j], len(own) * CLASSES).reshape(-1, CLASSES)
+            if weights:
+                logs = weights.log_probabilities(own)
+                loss -= float((values * logs).sum())
+                values = values.sum(axis=1, keepdims=True) * np.exp(logs)
+            for total, x in zip(sums, (values.sum(axis=0), *_by_feature(own, values.astype(np.float32))), strict=True):
+                total += x.astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([loss]), *(pa.array([s.tobytes()], pa.binary()) for s in sums)], names=["loss", "bias", "last", "skip", "pair"])
 
     return expected
