@@ -30,9 +30,9 @@ _APART = f"[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^\\t-\\r \xa0{_L}{_N}]+"
 _PRE_TOKEN = re.compile(f"[{_L}]+|{_APART}")
 #: Memory bounds of the memo: that many pre-tokens of so many characters at most are
 #: kept (some 200 bytes each), then it starts anew.
-MEMO, LONGEST = 700_000, 256
+MEMO, LONGEST = 400_000, 256
 #: Texts are encoded together up to so many bytes.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def pre_tokens(text: str) -> list[str] | None:
