@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.checks import placeholder
 from siftwell.functions.spans import find_all, lines, plain_building
 from siftwell.model import ALLOW_MARK, PRIORITY, Config
-from siftwell.plans.catalog import Rule, rules
+from siftwell.plans.catalog import MARKS, Rule, rules
 
 _SPAN = "struct<priority:int,shorter:int,ord:int,start:int,end:int,category:string,rule:string,value:string>"
 _FOUND = _SPAN[:-1] + ",context:string>"
@@ -55,11 +55,18 @@ def _gateway(gates: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
 
 def may_hold(line: Column, active: list[Rule]) -> Column:
-    """False only for lines that no rule's gate lets through."""
+    """False only for lines that no rule's gate lets through, or that no match can lie in.
+
+    Most prose holds none of MARKS and no gate of the few rules that need none.
+    """
     if not all(r.gate for r in active):
         return F.lit(True)
-    literals, patterns = _gateway(frozenset(r.gate for r in active))
-    return reduce(lambda a, b: a | b, [*(line.rlike(p) for p in patterns), *(line.contains(x) for x in literals)], F.lit(False))
+
+    def any_of(gates: frozenset[str], *more: str) -> Column:
+        literals, patterns = _gateway(gates)
+        return reduce(lambda a, b: a | b, [*(line.rlike(p) for p in (*more, *patterns)), *(line.contains(x) for x in literals)], F.lit(False))
+
+    return any_of(frozenset(r.gate for r in active if r.free), *MARKS) & any_of(frozenset(r.gate for r in active))
 
 
 def explode_lines(segments: DataFrame, text: str = "text") -> DataFrame:
