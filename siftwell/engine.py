@@ -34,17 +34,31 @@ class Engine:
         self.spark, self.config, self.ocr = spark, config, ocr
         self.unavailable = engines.missing(config.engines)
 
-    def scan(self, segments: DataFrame) -> DataFrame:
-        found = scan(segments, self.config)
-        there = [e for e in self.config.engines if e not in self.unavailable]
-        if not there:
-            return found
-        more = reduce(DataFrame.unionByName, (engines.scan_with(e, segments) for e in there))
+    @property
+    def _there(self) -> list[str]:
+        return [e for e in self.config.engines if e not in self.unavailable]
+
+    def _told(self, segments: DataFrame) -> DataFrame:
+        """What further engines find, without marked lines and allowed values."""
+        more = reduce(DataFrame.unionByName, (engines.scan_with(e, segments) for e in self._there))
         marked = explode_lines(segments).where(F.col("line_text").contains(ALLOW_MARK)).select("path", "where", "line")
         more = more.join(marked, ["path", "where", "line"], "left_anti")
         for regex in self.config.allow:
             more = more.where(~F.col("value").rlike(regex))
-        return merge(found, more)
+        return more
+
+    def scan(self, segments: DataFrame) -> DataFrame:
+        found = scan(segments, self.config)
+        return merge(found, self._told(segments)) if self._there else found
+
+    def _scan_added(self, lines: DataFrame) -> DataFrame:
+        """Findings in added lines; further engines read a commit's lines of a file as one text."""
+        found = scan_lines(lines, self.config).withColumn("engine", F.lit("builtin"))
+        if not self._there:
+            return found
+        texts, numbers = history.joined(lines)
+        told = self._told(texts).join(numbers, ["path", "where"]).withColumn("line", F.element_at("numbers", F.col("line"))).drop("numbers")
+        return merge(found, told)
 
     def redact(self, segments: DataFrame) -> DataFrame:
         return redact(segments, self.config)
@@ -69,7 +83,7 @@ class Engine:
         """Findings in what the commits of a repository added."""
         lines = history.added_lines(self.spark, repo, rev)
         shown = lambda df: df.withColumn("path", F.concat(F.lit(repo.rstrip("/") + "/"), "path"))
-        found = shown(scan_lines(history.history_segments(lines), self.config).withColumn("engine", F.lit("builtin"))).select(*COLUMNS)
+        found = shown(self._scan_added(history.history_segments(lines))).select(*COLUMNS)
         parts = shown(history.document_parts(self.spark, repo, rev, ocr=self.ocr))
         told = self.scan(parts.where("text is not null").select("path", "where", "text")).select(*COLUMNS)
         n = lines.select("commit", "path").distinct().count()

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.spans import LINE_END
 from siftwell.plans import fixed
 from siftwell.sources.files import CONTAINERS, PARTS, suffix
 from siftwell.sources.office import extract
@@ -92,3 +93,12 @@ def history_segments(df: DataFrame) -> DataFrame:
     """Added lines of what is no document, with ``where`` telling the commit, ready for a line scan."""
     text = df.where(~F.col("binary") & ~suffix().isin(*CONTAINERS, *fixed.IMAGES))
     return text.select("path", F.concat(F.lit("commit "), F.substring("commit", 1, 10)).alias("where"), "line", "line_text")
+
+
+def joined(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(path, where, text)`` of added lines, joined by file and commit, and ``(path, where, numbers)``
+    of the lines' own numbers. Line ends inside a line become blanks, so that the count holds."""
+    own = F.sort_array(F.collect_list(F.struct("line", "line_text")))
+    each = lines.groupBy("path", "where").agg(own.alias("own"))
+    text = F.array_join(F.transform("own.line_text", lambda x: F.regexp_replace(x, LINE_END, " ")), "\n")
+    return each.select("path", "where", text.alias("text")), each.select("path", "where", F.col("own.line").alias("numbers"))

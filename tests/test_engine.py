@@ -175,6 +175,25 @@ def test_files_and_history(spark, tmp_path):
         engine.scan_history(str(tmp_path / "none"))
 
 
+def test_engines_read_history(spark, tmp_path, monkeypatch):
+    def word(text):
+        return engines.by_line(text, [(m.start(), m.end(), "other:word") for m in re.finditer("zebra", text)], "pii")
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=a", "-c", "user.email=a@b.kr", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (repo / "a.txt").write_text("one\ntwo\nthree\n")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    (repo / "a.txt").write_text(f"one\nnew\x0cbreak\ntwo\nmail ada@lab-mail.kr zebra\nzebra {ALLOW_MARK}\nthree\nzebra\n")
+    run("add", "-A")
+    run("commit", "-qm", "two")
+    monkeypatch.setitem(engines.REGISTRY, "other", (lambda: True, word))
+    found = Engine(spark, Config(engines=("other",), only_rules=("email",))).scan_history(str(repo)).findings.collect()
+    assert sorted((r.line, r.start, r.value, r.engine) for r in found) == [(4, 5, "ada@lab-mail.kr", "builtin"), (4, 21, "zebra", "other"), (7, 0, "zebra", "other")]
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     p = tmp_path / "a.txt"
