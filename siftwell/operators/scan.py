@@ -26,6 +26,16 @@ _CHARS = "(?:[^\\\\\\[\\](){}|?*+.^$]|\\[[^\\]\\\\^-]\\])+"
 _LITERALS = re.compile(f"{_CHARS}(?:[|]{_CHARS})*")
 
 
+def _literals(gate: str) -> set[str]:
+    """The alternatives of a gate without regular operators; none of any other gate."""
+    return {re.sub(r"\[(.)\]", r"\1", x) for x in gate.split("|")} if _LITERALS.fullmatch(gate) else set()
+
+
+def _passes(line: Column, gate: str) -> Column:
+    literals = sorted(_literals(gate))
+    return reduce(lambda a, b: a | b, (line.contains(x) for x in literals)) if literals else line.rlike(gate)
+
+
 @lru_cache(maxsize=64)
 def _gateway(gates: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Literals and patterns, one of which is in every line that one of the gates lets through.
@@ -38,14 +48,12 @@ def _gateway(gates: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     loose: set[str] = set()
     other: set[str] = set()
     for gate in gates:
-        free = gate.startswith("(?i)")
-        body = gate[4:] if free else gate
-        if free:
-            loose.add(body)
-        elif _LITERALS.fullmatch(body):
-            exact |= {re.sub(r"\[(.)\]", r"\1", x) for x in body.split("|")}
+        if gate.startswith("(?i)"):
+            loose.add(gate[4:])
+        elif literals := _literals(gate):
+            exact |= literals
         else:
-            other.add(body)
+            other.add(gate)
     exact = {x for x in exact if not any(y != x and y in x for y in exact)}
     if "[0-9]" in other:
         other = {x for x in other if x == "[0-9]" or not x.startswith("[0-9]")}
@@ -94,7 +102,7 @@ def _spans(rule: Rule, order: int, line: Column) -> Column:
 
     out = F.filter(F.transform(found, told), lambda s: s["value"] != "")
     none = F.array().cast(f"array<{_FOUND}>")
-    return F.when(line.rlike(rule.gate), out).otherwise(none) if rule.gate else out
+    return F.when(_passes(line, rule.gate), out).otherwise(none) if rule.gate else out
 
 
 @plain_building()

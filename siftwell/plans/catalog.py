@@ -66,9 +66,9 @@ PII = (
         left=f"{_FREE}(?<!\\d[\\s-])", right=f"(?![\\s-]\\d){_ENDS}", gate=_DIGITS, check=checks.card,
     ),
     Rule("pii", "kr-business-reg-no", "\\d{3}-\\d\\d-\\d{5}", left=_FREE, right=_ENDS, gate=_DIGITS, check=checks.business_number),
-    Rule("pii", "bank-account", "\\d{2,6}-\\d{2,6}-\\d{2,7}(?:-\\d{1,3})?", lead=_cue(fixed.BANK_CUES, 15), right="(?!\\d)", gate="[0-9]", flags="Ui"),
-    Rule("pii", "passport-no", "[DGMRST](?:\\d{3}[A-Z]\\d{4}|\\d{8})", lead=_cue(fixed.PASSPORT_CUES, 12), right="\\b", gate="[0-9]", flags="Ui"),
-    Rule("pii", "kr-driver-license", "\\d\\d-\\d\\d-\\d{6}-\\d\\d", lead=_cue(fixed.LICENCE_CUES, 12), right="(?!\\d)", gate="[0-9]", flags="Ui"),
+    Rule("pii", "bank-account", "\\d{2,6}-\\d{2,6}-\\d{2,7}(?:-\\d{1,3})?", lead=_cue(fixed.BANK_CUES, 15), right="(?!\\d)", gate=f"(?iu:{fixed.BANK_CUES})", flags="Ui"),
+    Rule("pii", "passport-no", "[DGMRST](?:\\d{3}[A-Z]\\d{4}|\\d{8})", lead=_cue(fixed.PASSPORT_CUES, 12), right="\\b", gate=f"(?iu:{fixed.PASSPORT_CUES})", flags="Ui"),
+    Rule("pii", "kr-driver-license", "\\d\\d-\\d\\d-\\d{6}-\\d\\d", lead=_cue(fixed.LICENCE_CUES, 12), right="(?!\\d)", gate=f"(?iu:{fixed.LICENCE_CUES})", flags="Ui"),
     Rule(
         "pii", "kr-address",
         f"(?:{fixed.ADDRESS_PROVINCES})[가-힣]*\\s+(?:[가-힣]+(?:시|군|구)\\s+){{1,2}}"
@@ -82,8 +82,8 @@ PII = (
     ),
     Rule("pii", "kr-vehicle-plate", f"(?:(?:{fixed.PROVINCES})\\s?)?\\d{{2,3}}\\s?[{fixed.PLATE_SYLLABLES}]\\s?\\d{{4}}", left="(?<![가-힣\\d])", right="(?!\\d)", gate="[0-9]\\s?[가-힣]\\s?[0-9]"),
     Rule("pii", "kr-student-employee-id", "[A-Z]{0,4}-?\\d{4,10}(?:-\\d{2,6}){0,2}", lead=f"(?:{fixed.ID_CUES})\\s*[#：:]?\\s*", right="(?![-\\d])", gate="(?i)학번|사번|직번|교번|교직원|student|employee", flags="Ui"),
-    Rule("pii", "kr-birthdate", f"(?:[가-힣]{{2,4}}\\s*[(]?\\s*)?{_YMD}\\s*일?[.]?\\s*(?:생|출생|년생)", gate="[0-9]"),
-    Rule("pii", "kr-birthdate", f"{_YMD}일?", lead=f"(?:{fixed.BIRTH_CUES})\\s*[：:]?\\s*", gate="[0-9]", flags="Ui"),
+    Rule("pii", "kr-birthdate", f"(?:[가-힣]{{2,4}}\\s*[(]?\\s*)?{_YMD}\\s*일?[.]?\\s*(?:생|출생|년생)", gate="생"),
+    Rule("pii", "kr-birthdate", f"{_YMD}일?", lead=f"(?:{fixed.BIRTH_CUES})\\s*[：:]?\\s*", gate=f"(?iu:{fixed.BIRTH_CUES})", flags="Ui"),
 )
 
 _SLASH = "[\\\\/]+"
