@@ -193,7 +193,7 @@ c AS (SELECT {key}, line, s, regexp_extract(x, '{card}') value, regexp_replace(x
 c2 AS (SELECT {key}, line, s, value, 'pii' category, 'payment-card' AS rule, {digits} ds FROM c
   WHERE NOT regexp_matches(around, '^[0-9][- ]') AND NOT regexp_matches(around, '@([- ]?[0-9]|[-.\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_])')
     AND (strpos(s, value) = 1 OR NOT regexp_matches(substr(s, strpos(s, value) - 1, 1), '[-+.\\p{{L}}\\p{{N}}_]'))),
-k AS (SELECT {key}, line, s, value, 'secret' category, 'credential-assignment' AS rule FROM l, unnest(regexp_extract_all(s, '(?:^|[^A-Za-z])token = "([0-9a-f]{{40}})"', 1)) AS t(value)),
+k AS (SELECT {key}, line, s, value, 'secret' category, 'credential-assignment' AS rule FROM l, unnest(regexp_extract_all(s, '(?i)(?:^|[^A-Z])token = "([0-9A-F]{{40}})"', 1)) AS t(value)),
 g AS (SELECT *, row_number() OVER (PARTITION BY {key}, line, rule, value) nth FROM (
   SELECT {key}, line, s, category, rule, value FROM e2 UNION ALL SELECT {key}, line, s, category, rule, value FROM c2 WHERE {doubled} % 10 = 0 AND len(list_distinct(ds)) > 2
   UNION ALL SELECT {key}, line, s, category, rule, value FROM k)),
@@ -214,9 +214,12 @@ def _expected(table: list[cases.Case]) -> str:
 _RESULT = """concat('{"ruleId":"', rule, '","level":"', CASE WHEN category = 'secret' THEN 'error' ELSE 'warning' END, '","message":{"text":"', category, ': ', rule, ' (', MASK, ')"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"documents/',
  doc_id, '"},"region":{"startLine":', line, ',"startColumn":', start + 1, ',"endColumn":', "end" + 1, '}}}]}')""".replace("MASK", _MASK)
 _OBJECT = """concat('{"category":"', category, '","rule":"', rule, '","line":', line, ',"start":', start, ',"end":', "end", ',"engine":"builtin","path":"documents/', doc_id, '","where":"","masked":"', MASK, '"}')""".replace("MASK", _MASK)
-_REDACTED = f"""WITH {_base("documents", "doc_id", "text")}, v AS (SELECT doc_id, list(struct_pack(value := value, tag := concat(CASE category WHEN 'secret' THEN '[REDACTED:' ELSE '[PII:' END, rule, ']')) ORDER BY length(value) DESC) vs, count(*) n FROM f GROUP BY doc_id)
-SELECT d.doc_id, md5(CASE WHEN n IS NULL THEN text ELSE list_reduce(list_prepend(text, list_transform(vs, lambda x: concat(x.value, chr(1), x.tag))), lambda a, b: replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2))) END) text_md5, coalesce(n, 0)::bigint n_redacted
-FROM documents d LEFT JOIN v USING (doc_id)"""
+_REDACTED = f"""WITH {_base("documents", "doc_id", "text")},
+v AS (SELECT doc_id, line, list(concat(start, chr(1), "end", chr(1), CASE category WHEN 'secret' THEN '[REDACTED:' ELSE '[PII:' END, rule, ']') ORDER BY start DESC) vs, count(*) n FROM f GROUP BY doc_id, line),
+r AS (SELECT doc_id, line, coalesce(n, 0) n, CASE WHEN n IS NULL THEN s ELSE list_reduce(list_prepend(s, vs), lambda a, b: concat(substr(a, 1, split_part(b, chr(1), 1)::int), split_part(b, chr(1), 3), substr(a, split_part(b, chr(1), 2)::int + 1))) END s
+  FROM l LEFT JOIN v USING (doc_id, line)),
+t AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY line) s, sum(n)::bigint n FROM r GROUP BY doc_id)
+SELECT doc_id, md5(s) text_md5, coalesce(n, 0)::bigint n_redacted FROM documents LEFT JOIN t USING (doc_id)"""
 
 ORACLES: dict[str, str] = {
     "findings_summary": f"{_DOCS} SELECT category, rule, count(*) n_findings FROM f GROUP BY ALL",
