@@ -5,8 +5,10 @@ Only the *histogram* of piece lengths matters to a packing, and it has at most
 that bounded histogram: the largest remaining length seeds a bin, a bitset
 subset-sum over the lengths still available finds the fullest completion, and the
 pattern is removed as often as the histogram allows. Pieces then look up their
-place by their rank among the pieces of the same length, which is computed in
-``shards`` independent parts per length (no length is ever sorted as a whole).
+place by their rank among the pieces of the same length. The task that cuts pieces
+ranks its own of each length as it goes; what the tasks before it hold is added.
+So nothing is sorted to rank it, and a length that most pieces have is dealt over
+as many tasks as read the documents.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import materialise, prepare, utf8
 from siftwell.llm.tokens import ChunkEncoder, as_text, together
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -99,22 +101,23 @@ class Places:
         return row[:, 3] + within // row[:, 2], row[:, 4] + within % row[:, 2] * length
 
 
-def _cut(tokenizer: str, capacity: int, separator: int, shards: int):
+def _cut(tokenizer: str, capacity: int, separator: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer)
         end, step = int(separator).to_bytes(4, "little"), 4 * capacity
-        turn = (TaskContext.get().partitionId() * 7919) % shards
+        task, met = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         for batch in together(batches):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in kinds]
             for doc, own in zip(batch.column(0).to_pylist(), encoder.encode(as_text(batch.column(1))), strict=True):
                 ids = bytes(own) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    turn = turn + 1 if turn + 1 < shards else 0
-                    for col, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), turn), strict=True):
+                    length = len(part) // 4
+                    for col, v in zip(cols, (doc, k, at // 4, length, zlib.crc32(part), task, met[length]), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "shard"])
+                    met[length] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local"])
 
     return pieces
 
@@ -129,7 +132,7 @@ def _place(places: Places):
     return placed
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, shards: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
     """Pack all rows of ``docs(doc_id, text, ...)`` into sequences of ``capacity`` tokens.
 
     One row per piece. Null and blank texts become one piece holding the separator
@@ -140,12 +143,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
     spark = docs.sparkSession
     prepare(spark)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    pieces = materialise(raw.mapInArrow(_cut(tokenizer, capacity, separator, shards), PIECES), "pieces")
-    groups = pieces.groupBy("length", "shard").agg(F.count("*").alias("n"))
+    # Written once: a task that is run again counts as one, so ranks stay distinct.
+    pieces = materialise(raw.mapInArrow(_cut(tokenizer, capacity, separator), PIECES), "pieces")
+    groups = materialise(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     # At most `capacity` rows come to the driver, at any corpus size.
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = Places(plan(histogram, capacity))
-    before = groups.select("length", "shard", (F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("local", local).join(before, ["length", "shard"]).withColumn("rank", F.col("before") + F.col("local"))
+    # One row per reading task in each length's window.
+    before = groups.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("local"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(places), PLACED)
