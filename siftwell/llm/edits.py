@@ -5,7 +5,7 @@ characters. A tree over the leaves keeps, for every node, the characters and the
 tokens below it. No pre-token reaches across such a cut, so an edit only changes the
 leaves it touches and the one its neighbouring character lies in: their text is
 joined, edited and encoded again, and the sums above are updated. The rest of the
-text is never read. Kept trees hold the leaves' bounds, so later edits start from
+text is never read. A leaf that an insertion makes long is cut anew. Kept trees hold the leaves' bounds, so later edits start from
 them and encode no more than that either.
 """
 
@@ -23,6 +23,8 @@ from siftwell.llm.common import prepare
 from siftwell.llm.tokens import ChunkEncoder, together
 
 LEAF = 256
+#: An edit's leaves are cut into more than they were beyond so many times that size.
+GROWN = 4
 _CUT = re.compile(r"[ \n]+")
 
 
@@ -41,6 +43,10 @@ class Tree:
     """Sums of characters and tokens over leaves; node k has children 2k and 2k + 1."""
 
     def __init__(self, parts: list[str], tokens: list[int]):
+        self.encoded = 0
+        self._build(parts, tokens)
+
+    def _build(self, parts: list[str], tokens: list[int]) -> None:
         self.parts = parts or [""]
         self.size = 1 << (len(self.parts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
@@ -49,7 +55,6 @@ class Tree:
         for k in range(self.size - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
-        self.encoded = 0
 
     @classmethod
     def restore(cls, text: str, chars: bytes, tokens: bytes, n_leaves: int) -> Tree:
@@ -99,9 +104,17 @@ class Tree:
         joined = "".join(self.parts[first : last + 1])
         edited = joined[: start - begin] + insert + joined[end - begin :]
         self.encoded += len(edited)
-        for k in range(first, last + 1):
-            own = edited if k == first else ""
-            self._set(k, own, count(own) if own else 0)
+        parts, room = leaves(edited), last + 1 - first
+        if len(parts) > room and len(edited) <= GROWN * LEAF * room:
+            parts[room - 1 :] = ["".join(parts[room - 1 :])]
+        tokens = [count(p) for p in parts]
+        if len(parts) > room:
+            known = self.tokens[self.size : self.size + len(self.parts)]
+            self._build(self.parts[:first] + parts + self.parts[last + 1 :], known[:first] + tokens + known[last + 1 :])
+            return
+        spare = room - len(parts)
+        for k, (own, n) in enumerate(zip(parts + [""] * spare, tokens + [0] * spare, strict=True), first):
+            self._set(k, own, n)
 
     def _set(self, leaf: int, text: str, tokens: int) -> None:
         self.parts[leaf] = text
@@ -134,11 +147,11 @@ KEPT = "token_tree binary, char_tree binary, edited_text string"
 
 def _edit(tree: Tree, edits: list | None, encoder: ChunkEncoder, keep: bool) -> tuple:
     """A row of COUNTED (and KEPT) behind its doc_id."""
-    before, n = tree.total, len(tree.parts)
+    before = tree.total
     for e in edits or ():
         if e is not None:
             tree.replace(e["start"] or 0, e["length"] or 0, e["insert"] or "", encoder.count)
-    return before, n, tree.length, tree.total, tree.encoded, *(tree.sums() if keep else ())
+    return before, len(tree.parts), tree.length, tree.total, tree.encoded, *(tree.sums() if keep else ())
 
 
 def _batch(rows: list[tuple], keep: bool) -> pa.RecordBatch:
@@ -174,7 +187,7 @@ def count_edits(docs: DataFrame, tokenizer: str, edits: str = "edits", keep: boo
 
     An edit ``(start, length, insert)`` counts in characters of the text as the ones
     before it left it; it is cut to the text's bounds, null fields are zero or empty,
-    null edits and lists are none. Null texts are empty; repeated rows stay repeated;
+    null edits and lists are none. ``n_leaves`` counts after the edits. Null texts are empty; repeated rows stay repeated;
     other columns are ignored; no rows give no rows. ``keep`` adds the trees (64-bit
     sums, root at 1) and the edited text, from which :func:`edit_again` goes on.
     """

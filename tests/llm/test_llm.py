@@ -63,7 +63,7 @@ def _ids(text):
 
 
 def test_packing_is_whole_and_gapless(docs):
-    got = packing.pack(docs, queries.word_tokenizer(), shards=3).collect()
+    got = packing.pack(docs.repartition(5), queries.word_tokenizer()).collect()
     want = collections.Counter()
     for d, t, *_ in ROWS:
         ids = _ids(t)
@@ -82,6 +82,13 @@ def test_packing_is_whole_and_gapless(docs):
         assert at <= 2048
 
 
+def test_one_length_over_many_tasks(spark):
+    same = spark.range(0, 3000, 1, 11).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
+    got = packing.pack(same, queries.word_tokenizer(), capacity=10).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and {r.length for r in got} == {4}
+    assert len({r.sequence_id for r in got}) == 1500 and {r.offset for r in got} == {0, 4}
+
+
 def test_packing_of_nothing(none):
     assert packing.pack(none, queries.word_tokenizer()).count() == 0
 
@@ -636,6 +643,20 @@ def test_later_edits_encode_touched_leaves_alone(spark):
     assert edits.edit_again(first.join(later, "doc_id").limit(0), queries.word_tokenizer()).count() == 0
 
 
+def test_long_insertions_become_leaves(spark):
+    new = "an inserted text with many blanks " * 2000
+    rows = [(1, _LONG, [(1000, 20, new), (2000, 0, "once more")]), (2, None, [(0, 0, new)]), (3, "x" * 5000, [(9, 0, "y" * 5000)])]
+    first = edits.count_edits(spark.createDataFrame(rows, f"doc_id long, text string, edits {edits.EDITS}"), queries.word_tokenizer(), keep=True)
+    more = spark.createDataFrame([(k, [(1500, 3, "don't")]) for k in (1, 2, 3)], f"doc_id long, edits {edits.EDITS}")
+    got = {r.doc_id: r for r in edits.edit_again(first.join(more, "doc_id"), queries.word_tokenizer()).collect()}
+    for r in first.collect():
+        text = r.edited_text[:1500] + "don't" + r.edited_text[1503:]
+        assert r.edited_tokens == len(_ids(r.edited_text)) - 1 == got[r.doc_id].n_tokens
+        assert (got[r.doc_id].edited_text, got[r.doc_id].edited_tokens) == (text, len(_ids(text)) - 1)
+    assert got[1].reencoded_chars < 2_000 and got[2].reencoded_chars < 2_000
+    assert got[2].n_leaves > 200 and got[3].n_leaves == 1
+
+
 # --- op9 -------------------------------------------------------------------
 
 URLS = [
