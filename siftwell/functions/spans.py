@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.errors import utils
 from pyspark.sql import Column
@@ -17,7 +18,8 @@ from siftwell.model import SPAN
 
 EDGE, SEAM = "\ue000", "\ue001"
 #: Characters that end a line; a carriage return and line feed are one end.
-LINE_END = "\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+LINE_END = "[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029](?:(?<=\r)\n)?"
+_ENDS = "\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029"
 
 
 @contextmanager
@@ -31,10 +33,18 @@ def plain_building() -> Iterator[None]:
         utils._enable_debugging_cache = before
 
 
+def end_length(text: Column) -> Column:
+    """Characters of the line end that a text ends with."""
+    return F.when(text.endswith("\r\n"), 2).when(reduce(lambda a, b: a | b, map(text.endswith, _ENDS)), 1).otherwise(0)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; a trailing line end adds none."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = F.coalesce(text, F.lit(""))
+    # The text is cut before it is split: the parts would be split again for each use of them.
+    cut = end_length(text)
+    body = F.when(cut == 0, text).otherwise(F.substring(text, F.lit(1), F.length(text) - cut))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
 
 
 def find_all(line: Column, pattern: str) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.spans import LINE_END, plain_building
+from siftwell.functions.spans import end_length, plain_building
 from siftwell.model import ALLOW_MARK, Config
 from siftwell.operators.scan import _SPAN, all_spans, may_hold, settle
 from siftwell.plans.catalog import rules
@@ -55,13 +55,14 @@ def redact(segments: DataFrame, config: Config = Config(), text: str = "text") -
 
     # Each step binds what the next one names many times.
     def parted(raw: Column) -> Column:
-        line = F.regexp_replace(raw, f"(?:{LINE_END})$", "")
-        return F.struct(line.alias("line"), F.substring(raw, F.length(line) + 1, F.lit(2)).alias("end"))
+        n = F.length(raw) - end_length(raw)
+        line = F.substring(raw, F.lit(1), n)
+        return F.struct(line.alias("line"), F.lower(line).alias("low"), F.substring(raw, n + 1, F.lit(2)).alias("end"))
 
     def found(x: Column) -> Column:
         line = x["line"]
         closed = line.contains(ALLOW_MARK) | ~may_hold(line, active)
-        spans = F.when(closed, none).otherwise(settle(all_spans(line, active, config.allow)))
+        spans = F.when(closed, none).otherwise(settle(all_spans(line, x["low"], active, config.allow)))
         return F.struct(line.alias("line"), x["end"].alias("end"), spans.alias("spans"))
 
     def replaced(x: Column) -> Column:

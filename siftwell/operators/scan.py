@@ -20,6 +20,8 @@ from siftwell.plans.catalog import MARKS, Rule, rules
 
 _SPAN = "struct<priority:int,shorter:int,ord:int,start:int,end:int,category:string,rule:string,value:string>"
 _FOUND = _SPAN[:-1] + ",context:string>"
+#: The column of a line's lower case.
+_LOW = "_line_in_lower_case"
 
 
 _CHARS = "(?:[^\\\\\\[\\](){}|?*+.^$]|\\[[^\\]\\\\^-]\\])+"
@@ -31,9 +33,13 @@ def _literals(gate: str) -> set[str]:
     return {re.sub(r"\[(.)\]", r"\1", x) for x in gate.split("|")} if _LITERALS.fullmatch(gate) else set()
 
 
-def _passes(line: Column, gate: str) -> Column:
-    literals = sorted(_literals(gate))
-    return reduce(lambda a, b: a | b, (line.contains(x) for x in literals)) if literals else line.rlike(gate)
+def _passes(line: Column, low: Column, gate: str) -> Column:
+    """Whether a line, whose lower case is ``low``, may hold a match."""
+    anyhow = gate.startswith("(?i)")
+    literals = sorted(_literals(gate[4:] if anyhow else gate))
+    if not literals:
+        return line.rlike(gate)
+    return reduce(lambda a, b: a | b, (low.contains(x.lower()) if anyhow else line.contains(x) for x in literals))
 
 
 @lru_cache(maxsize=64)
@@ -49,12 +55,13 @@ def _gateway(gates: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     other: set[str] = set()
     for gate in gates:
         if gate.startswith("(?i)"):
-            loose.add(gate[4:])
+            loose |= set(gate[4:].split("|")) if _literals(gate[4:]) else {gate[4:]}
         elif literals := _literals(gate):
             exact |= literals
         else:
             other.add(gate)
     exact = {x for x in exact if not any(y != x and y in x for y in exact)}
+    loose = {x for x in loose if not any(y != x and y.lower() in x.lower() for y in loose)}
     if "[0-9]" in other:
         other = {x for x in other if x == "[0-9]" or not x.startswith("[0-9]")}
         exact = {x for x in exact if not re.search("[0-9]", x)}
@@ -83,7 +90,7 @@ def explode_lines(segments: DataFrame, text: str = "text") -> DataFrame:
     return segments.select(*rest, F.posexplode(lines(F.col(text))).alias("_at", "line_text")).withColumn("line", F.col("_at") + 1).drop("_at")
 
 
-def _spans(rule: Rule, order: int, line: Column) -> Column:
+def _spans(rule: Rule, order: int, line: Column, low: Column) -> Column:
     found = find_all(line, rule.pattern)
     if rule.check:
         found = F.filter(found, lambda s: rule.check(line, s))
@@ -102,12 +109,12 @@ def _spans(rule: Rule, order: int, line: Column) -> Column:
 
     out = F.filter(F.transform(found, told), lambda s: s["value"] != "")
     none = F.array().cast(f"array<{_FOUND}>")
-    return F.when(_passes(line, rule.gate), out).otherwise(none) if rule.gate else out
+    return F.when(_passes(line, low, rule.gate), out).otherwise(none) if rule.gate else out
 
 
 @plain_building()
-def all_spans(line: Column, active: list[Rule], allow: tuple[str, ...] = ()) -> Column:
-    """The spans of all rules in a line, before overlaps are settled.
+def all_spans(line: Column, low: Column, active: list[Rule], allow: tuple[str, ...] = ()) -> Column:
+    """The spans of all rules in a line, whose lower case is ``low``, before overlaps are settled.
 
     Placeholders and the allowlist are judged once for all rules, which keeps the plan small.
     """
@@ -118,14 +125,14 @@ def all_spans(line: Column, active: list[Rule], allow: tuple[str, ...] = ()) ->
             out &= ~s["value"].rlike(regex)
         return out
 
-    found = F.filter(F.flatten(F.array(*[_spans(r, k, line) for k, r in enumerate(active)])), stays)
+    found = F.filter(F.flatten(F.array(*[_spans(r, k, line, low) for k, r in enumerate(active)])), stays)
     return F.transform(found, lambda s: s.dropFields("context"))
 
 
 @lru_cache(maxsize=64)
 def _spans_of(line: str, active: tuple[Rule, ...], allow: tuple[str, ...], gateway: int) -> Column:
     """The expression over a named column; building one takes longer than planning with it."""
-    return all_spans(F.col(line), list(active), allow)
+    return all_spans(F.col(line), F.col(_LOW), list(active), allow)
 
 
 def settle(spans: Column, kind: str = _SPAN) -> Column:
@@ -146,7 +153,8 @@ def scan_lines(df: DataFrame, config: Config = Config(), line: str = "line_text"
     open_ = df.where(~text.contains(ALLOW_MARK))
     open_ = open_.where(may_hold(text, active))
     found = _spans_of(line, tuple(active), config.allow, id(SparkContext._gateway))
-    met = open_.select(*rest, found.alias("_spans")).where(F.size("_spans") > 0)
+    # A filter on the spans would be pushed below them and compute them twice.
+    met = open_.select(*rest, text, F.lower(text).alias(_LOW)).select(*rest, found.alias("_spans"))
     out = met.select(*rest, F.explode(settle(F.col("_spans"))).alias("_s"))
     return out.select(*rest, *[F.col(f"_s.{c}").alias(c) for c in ("start", "end", "category", "rule", "value")])
 

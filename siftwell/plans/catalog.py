@@ -108,6 +108,8 @@ def _token(name: str, value: str, gate: str, **more) -> Rule:
 
 
 _KEYS = "pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|api[-_]?key|access[-_]?key|private[-_]?key|auth[-_]?key|비밀번호|비번|인증키"
+#: Literals, one of which is in each of _KEYS.
+_KEY_GATE = "(?i)" + "|".join(["pass", "pwd", "secret", "token", "credential", "비밀번호", "비번", "인증키", *(f"{a}{b}key" for a in ("api", "access", "private", "auth") for b in ("", "-", "_"))])
 SECRET = (
     _token("github-token", "gh[opsu]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z]{22}_[0-9A-Za-z]{59}", "gh[opsu]_|github_pat_"),
     _token("aws-access-key-id", "(?:AKIA|ASIA)[0-9A-Z]{16}", "AKIA|ASIA", free=True),
@@ -140,7 +142,7 @@ SECRET = (
     Rule("secret", "sentry-dsn", _HEX32, lead="https://", right="@[0-9a-z.]*sentry[.]io", gate="sentry[.]io", flags="-U"),
     Rule("secret", "azure-storage-key", "[+/0-9A-Za-z]{86,88}==", lead="AccountKey=", gate="AccountKey", flags="-U"),
     Rule("secret", "aws-secret-key", "[+/0-9A-Za-z]{40}", lead="(?i:aws.{0,20}secret.{0,20}|secret_?access_?key.{0,5})[\\s\"':=]", right="(?![+/0-9A-Za-z=])", gate="(?i)secret", opaque=True, free=True, flags="-U"),
-    Rule("secret", "twilio-token", _HEX32, lead="(?i:twilio.{0,40}|auth_?token.{0,5})[\\s\"':=]", right=_E, gate="(?i)twilio|auth_?token", opaque=True, free=True, flags="-U"),
+    Rule("secret", "twilio-token", _HEX32, lead="(?i:twilio.{0,40}|auth_?token.{0,5})[\\s\"':=]", right=_E, gate="(?i)twilio|authtoken|auth_token", opaque=True, free=True, flags="-U"),
     Rule("secret", "private-key-block", "-----BEGIN [A-Z ]*PRIVATE KEY-----", gate="PRIVATE KEY", flags="-U"),
     Rule("secret", "kakao-api-key", _HEX32, lead="(?i:kakao|카카오)[^\\n]{0,30}?(?<![0-9a-fA-F])", right="(?![0-9A-Za-z])", gate="(?i)kakao|카카오", opaque=True, free=True, flags="-U"),
     Rule("secret", "data-go-kr-service-key", "[-%+/0-9=A-Za-z_]{40,}", lead="(?i)servicekey=", gate="(?i)servicekey=", opaque=True, flags="-U"),
@@ -149,7 +151,7 @@ SECRET = (
     Rule("secret", "bearer-header", "[-.0-9=A-Z_a-z~+/]{20,}", lead="(?i:authorization)[\"']?\\s*[:=]\\s*[\"']?(?i:bearer)\\s+", gate="(?i)bearer", opaque=True, flags="-U"),
     Rule("secret", "curl-basic-auth", "[^\\s:\"']{4,}", lead="curl [^\\n]{0,200}?(?:-u|--user) [\"']?[^\\s:\"']+:", gate="curl", opaque=True, flags="-U"),
     Rule("secret", "url-embedded-password", "[^\\s/@:\"'<>]{3,}", lead="[a-z][-+.0-9a-z]{1,20}://[^\\s/:@\"']{1,80}:", right="@(?!localhost|127[.])[-.0-9A-Za-z]+", gate="://", opaque=True, flags="-U"),
-    Rule("secret", "credential-assignment", "[^\\s\"'`,;]{8,}+", lead=f"(?i:(?<![A-Za-z])(?:[a-z0-9]{{1,20}}[-_.]){{0,4}}(?:{_KEYS}))[\"'`]?\\s{{0,4}}(?:=>|:=|[:=])\\s{{0,4}}[\"'`]?", tail="[\"'`]?", gate=f"(?i){_KEYS}", check=checks.assigned, opaque=True, flags="-U"),
+    Rule("secret", "credential-assignment", "[^\\s\"'`,;]{8,}+", lead=f"(?i:(?<![A-Za-z])(?:[a-z0-9]{{1,20}}[-_.]){{0,4}}(?:{_KEYS}))[\"'`]?\\s{{0,4}}(?:=>|:=|[:=])\\s{{0,4}}[\"'`]?", tail="[\"'`]?", gate=_KEY_GATE, check=checks.assigned, opaque=True, flags="-U"),
     Rule("secret", "credential-assignment", "[^\\s\"'`,;]{16,}+", lead="(?<![A-Z])(?:[A-Z0-9]{1,20}_){1,4}KEY\\s{0,4}[:=]\\s{0,4}[\"'`]?", tail="[\"'`]?", gate="_KEY", check=checks.assigned, opaque=True, flags="-U"),
     Rule("secret", "messenger-password", "[!-~]{8,20}", lead="(?:비번|비밀번호)[은는]?\\s+", right="\\s*(?:로|으로|이에요|입니다|예요)", gate="비번|비밀번호", check=checks.assigned, opaque=True, flags="-U"),
 )

@@ -13,13 +13,14 @@ from siftwell.operators.redact import json_guard, redact
 from siftwell.operators.scan import _SPAN, explode_lines, merge, scan, settle
 from siftwell.plans import cases
 from siftwell.sources import files
+from siftwell.sources.tables import table
 from siftwell.streaming.scan import finished
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def _found(spark: SparkSession, sf_dir: str, config: Config = Config()) -> DataFrame:
@@ -41,7 +42,7 @@ def findings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = table(spark, sf_dir, "labels")
     return _found(spark, sf_dir).join(labels, "doc_id").groupBy("rule", "quality", "toxic").agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -61,7 +62,7 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return report.published(scan(pages, Config())).select("page_id", "line", "start", "end", "rule", "masked")
 
 
