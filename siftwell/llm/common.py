@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.sources.tables import table as table
+
 #: Six characters count as white space everywhere in this subpackage.
 SPACE = "\\x20\\x09-\\x0D"
 #: Records per Arrow batch handed to Python; bounds a worker's memory on long texts.
@@ -84,7 +86,3 @@ def utf8(column: str | Column) -> Column:
 def words(column: Column) -> Column:
     """Words of a text: maximal runs of anything but the six white-space characters."""
     return F.array_remove(F.split(F.coalesce(column, F.lit("")), f"[{SPACE}]+"), "")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
