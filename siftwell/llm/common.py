@@ -7,9 +7,11 @@ is absent (single-machine tests).
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +79,30 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def release() -> None:
+    """Give free memory back to the system; allocators otherwise keep a worker at its peak."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``function`` of batches, behind which the worker holds no more than it keeps for its next task.
+
+    Workers are kept after a task, beside the memory of the stages that need none.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def utf8(column: str | Column) -> Column:
     """A text as bytes, so that Python workers need not decode it; null is empty."""
     c = F.col(column) if isinstance(column, str) else column

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import prepare, utf8
+from siftwell.llm.common import lean, prepare, utf8
 
 BITS = 18
 GRADES = 3
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     chosen = rated.groupBy("_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     # Broadcast: at most `max_labelled` rows of two numbers.
     met = docs.select(F.col("doc_id").cast("long").alias("_id"), utf8("text").alias("text")).join(F.broadcast(chosen), "_id").select("grade", "text")
-    rows = met.mapInArrow(_featurise, "grade int, features binary").limit(2 * max_labelled).collect()
+    rows = met.mapInArrow(lean(_featurise), "grade int, features binary").limit(2 * max_labelled).collect()
     rows.sort(key=lambda r: (zlib.crc32(r["features"]), r["grade"]))  # whatever the order in which tasks end
     features, grades = [np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64)
     return fit(features, grades, l1=choose(features, grades))
@@ -210,7 +210,7 @@ def _select(model: Model, threshold: float):
             tail = model.probabilities(score_texts(model, texts, memo))[:, -1]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(tail >= threshold))
 
-    return kept
+    return lean(kept)
 
 
 def passing(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

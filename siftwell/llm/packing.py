@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, prepare, utf8
+from siftwell.llm.common import lean, materialise, prepare, release, utf8
 from siftwell.llm.tokens import ChunkEncoder, as_text, together
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
@@ -109,7 +109,9 @@ def _cut(tokenizer: str, capacity: int, separator: int):
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         for batch in together(batches):
             cols: list[list] = [[] for _ in kinds]
-            for doc, own in zip(batch.column(0).to_pylist(), encoder.encode(as_text(batch.column(1))), strict=True):
+            encoded = encoder.encode(as_text(batch.column(1)))
+            release()  # encoding takes many times what it leaves
+            for doc, own in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids = bytes(own) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -119,7 +121,7 @@ def _cut(tokenizer: str, capacity: int, separator: int):
                     met[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local"])
 
-    return pieces
+    return lean(pieces)
 
 
 def _place(places: Places):
@@ -129,7 +131,7 @@ def _place(places: Places):
             where, offset = places.find(t["length"].to_numpy(), t["rank"].to_numpy())
             yield from t.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(where)).append_column("offset", pa.array(offset)).to_batches()
 
-    return placed
+    return lean(placed)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0) -> DataFrame:

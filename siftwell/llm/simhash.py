@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, prepare, utf8
+from siftwell.llm.common import lean, materialise, prepare, utf8
 from siftwell.llm.components import components
 
 #: Widths of the six bit blocks, from the lowest bit.
@@ -202,14 +202,14 @@ def links(prints: DataFrame, cell: int = CELL) -> DataFrame:
     grid = keyed.join(hot, "key", "left").withColumn("mine", mine).withColumn("other", other)
     at = F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
     cells = grid.select(at.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(_compare, "u long, v long")
+    return cells.mapInArrow(lean(_compare), "u long, v long")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, text_hash)`` of every row, written once."""
     prepare(docs.sparkSession)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.xxhash64(F.col("text")).alias("text_hash"))
-    return materialise(raw.mapInArrow(_sign, "doc_id long, fp long, text_hash long"), "signatures")
+    return materialise(raw.mapInArrow(lean(_sign), "doc_id long, fp long, text_hash long"), "signatures")
 
 
 def classes(signed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ The tokenizer normalises a text (NFC, lower case), cuts it into pre-tokens and
 encodes each by itself; no pre-token holds white space. So Arrow lowers a batch, sets
 blanks around all pre-tokens that are not letters, splits at white space and finds
 the distinct pre-tokens; each is looked up in a bounded memo once, and the new ones
-are encoded in one call. Texts for which the cut is not certain to be the tokenizer's own (control
+are encoded many at a time. Texts for which the cut is not certain to be the tokenizer's own (control
 characters, literal special tokens, scripts whose character classes depend on the
 Unicode version) are handed to it as they are.
 """
@@ -31,6 +31,8 @@ _PRE_TOKEN = re.compile(f"[{_L}]+|{_APART}")
 #: Memory bounds of the memo: that many pre-tokens of so many characters at most are
 #: kept (some 200 bytes each), then it starts anew.
 MEMO, LONGEST = 400_000, 256
+#: New pre-tokens are encoded so many at a time: the tokenizer needs some kilobytes for each.
+AT_ONCE = 8192
 #: Texts are encoded together up to so many bytes.
 TOGETHER = 4 << 20
 
@@ -67,13 +69,14 @@ class _Memo(dict):
         return found
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pre-tokens that are not in the memo, in one call."""
+        """Encode pre-tokens that are not in the memo, AT_ONCE in a call."""
         joined = [p for p in pieces if p and "<" not in p and len(p) <= LONGEST]
-        got = np.array(self.tokenizer.encode_batch_fast([" ".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[got]) + 1  # a pre-token's last token says that it is the last
-        if len(cuts) == len(joined):
-            raw, bounds = got.tobytes(), [0, *(4 * cuts).tolist()]
-            self.update({p: raw[i:j] for p, i, j in zip(joined, bounds, bounds[1:], strict=False)})
+        for part in (joined[at : at + AT_ONCE] for at in range(0, len(joined), AT_ONCE)):
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[got]) + 1  # a pre-token's last token says that it is the last
+            if len(cuts) == len(part):
+                raw, bounds = got.tobytes(), [0, *(4 * cuts).tolist()]
+                self.update({p: raw[i:j] for p, i, j in zip(part, bounds, bounds[1:], strict=False)})
         for p in pieces:
             if p not in self:
                 self[p] = self.ids(p)

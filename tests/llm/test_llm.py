@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 from pathlib import Path
@@ -133,6 +135,40 @@ def test_memo_is_bounded(monkeypatch):
         assert len(encoder.memo) < 150 and max(map(len, encoder.memo)) <= tokens.LONGEST
 
 
+_MEASURE = """
+import random, re, sys
+import pyarrow as pa
+from siftwell.llm import packing, queries, tokens
+
+class Task:
+    get = classmethod(lambda cls: cls)
+    partitionId = staticmethod(lambda: 0)
+
+def now():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+packing.TaskContext = Task
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(150_000)]
+
+def batches():
+    for k in range(32):
+        texts = [" ".join(rng.choices(words, k=200)).encode() for _ in range(512)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(512), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+tokens.ChunkEncoder(queries.word_tokenizer())
+first, cut = now(), packing._cut(queries.word_tokenizer(), 2048, 0)
+most = max(now() for _ in cut(batches()))
+print(most - first, now() - first)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="memory is read from /proc")
+def test_workers_give_memory_back():
+    most, after = map(float, subprocess.run([sys.executable, "-c", _MEASURE], capture_output=True, check=True, text=True, cwd=Path(__file__).resolve().parents[2]).stdout.split())
+    assert most < 120 and after < 80, (most, after)
+
+
 # --- op2 -------------------------------------------------------------------
 
 
